@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows a dimension may have to be broadcast; beyond it the join shuffles with a spread hot side.
-BROADCAST_ROWS = 100_000
-#: Copies made of each dimension row in the shuffled form, so that one hot key spreads over that many tasks.
-SPREAD = 16
+#: Most rows a dimension may have to be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 10_000
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -18,28 +16,12 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    spread: int = SPREAD,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join facts with a dimension that has one row for each key.
 
-    A dimension of at most ``broadcast_rows`` rows is broadcast. A larger one is shuffled, with every
-    dimension row copied to ``spread`` salts and fact rows salted at random by their own content, so a key
-    that holds a third of the facts is worked on by ``spread`` tasks. Null keys match nothing; with
-    ``how='left'`` their facts stay.
+    A dimension of at most ``broadcast_rows`` rows is broadcast, whatever the skew of the facts. A larger one
+    is shuffled, and adaptive execution cuts the partitions of facts that a hot key makes too large (the
+    dimension's side of a cut partition is read by each part). Null keys match nothing; with ``how='left'``
+    their facts stay.
     """
-    if is_small(dim, broadcast_rows):
-        return facts.join(F.broadcast(dim), list(on), how)
-    salt = "_lookup_salt"
-    salted = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns if _hashable(facts, c)]), F.lit(spread)))
-    copies = dim.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
-    return salted.join(copies, [*on, salt], how).drop(salt)
-
-
-def _hashable(df: DataFrame, column: str) -> bool:
-    return "map" not in df.schema[column].dataType.simpleString()
+    return facts.join(F.broadcast(dim) if is_small(dim, broadcast_rows) else dim, list(on), how)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +39,31 @@ def build_session(master: str = "local[8]", app: str = "framelake", **conf: str)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="framelake-code-")  # of the driver; executors fetch the file from it
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "framelake_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as held:
+        for root, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(root, name)
+                    held.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(target)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """A parquet table of a data folder; timestamps without zone are read as UTC instants."""
+    ship_package(spark)
     df = spark.read.parquet(f"{base}/{name}.parquet")
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
