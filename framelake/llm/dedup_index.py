@@ -30,7 +30,7 @@ SIMILARITY = 0.6
 #: Most bits in which sketches of similar texts differ; at similarity 0.64 the mean is 50, the deviation 6.3.
 RADIUS = 72
 #: Nodes of one graph; a segment with more is cut into pieces by a hash.
-SHARD_NODES = 20_000
+SHARD_NODES = 50_000
 #: Shards of a tier that are compacted into one of the next.
 FAN = 4
 TIERS = 3
@@ -117,7 +117,7 @@ def _unpack(column: pd.Series, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=dtype).reshape(-1, width)
 
 
-def _probes(vectors: np.ndarray, bits: np.ndarray, seed: int = 5, most: int = 96) -> tuple[np.ndarray, np.ndarray]:
+def _probes(vectors: np.ndarray, bits: np.ndarray, seed: int = 5, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Artificial near copies of nodes: noise of the size that a similarity of 0.6 to 1 leaves."""
     rng = np.random.default_rng(seed)
     pick = rng.choice(len(vectors), size=min(most, len(vectors)), replace=False)

@@ -110,16 +110,19 @@ class Graph:
     def _beam_search(self, vectors: np.ndarray, sketches: np.ndarray, beam: int, radius: int | None):
         """Beam keys of each query, and the (query, node) pairs met whose sketches differ in at most ``radius`` bits."""
         q, n = len(vectors), len(self.vectors)
-        seen = np.zeros((q, n + 1), dtype=bool)  # the last column stands for a missing link
-        seen[:, self.pivots] = True
+        # Flat, as one index is cheaper than two; column 0 stands for a missing link, column i + 1 for node i.
+        seen = np.zeros(q * (n + 1), dtype=bool)
+        seen.reshape(q, n + 1)[:, self.pivots + 1] = True
+        seen[:: n + 1] = True
         keys = np.full((q, beam), _NONE)
         start = _keys(vectors @ self.vectors[self.pivots].T, np.broadcast_to(self.pivots, (q, len(self.pivots))))
         width = min(beam, start.shape[1])
         keys[:, :width] = np.sort(np.partition(start, width - 1, axis=1)[:, :width], axis=1)
         met = []
         if radius is not None:
-            a, b = np.nonzero(hamming(sketches[:, None], self.sketches[self.pivots][None]) <= radius)
-            met.append((a, self.pivots[b]))
+            asker, new = np.repeat(np.arange(q), width), _nodes(keys[:, :width]).ravel()
+            hit = hamming(sketches[asker], self.sketches[new]) <= radius
+            met.append((asker[hit], new[hit]))
         live = np.arange(q)
         while len(live):
             own = keys[live]
@@ -133,9 +136,10 @@ class Graph:
             node = _nodes(own[turn, slot])
             own[turn, slot] |= _ONE
             to = self.links[node]
-            old = seen[live[:, None], to] | (to < 0)
-            seen[live[:, None], to] = True
-            row, col = np.nonzero(~old)
+            spot = (live * (n + 1) + 1)[:, None] + to
+            fresh_link = ~seen[spot]
+            seen[spot] = True
+            row, col = np.nonzero(fresh_link)
             new, asker = to[row, col], live[row]
             if radius is not None:
                 hit = hamming(sketches[asker], self.sketches[new]) <= radius
@@ -171,7 +175,7 @@ class Graph:
             a, b = pairs // len(self.vectors), pairs % len(self.vectors)
         return a, b
 
-    def tune(self, probes: tuple[np.ndarray, np.ndarray], radius: int, goal: float = 0.99) -> float:
+    def tune(self, probes: tuple[np.ndarray, np.ndarray], radius: int, goal: float = 0.995) -> float:
         """Widen ``beam`` until searches find ``goal`` of what exhaustive search finds within ``radius``.
 
         Where no listed beam is wide enough, the beam is the whole graph. Returns the recall reached.
