@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import dedup_index
+from framelake.llm import dedup_index, mixture, packing, reading_level
 from framelake.session import table
 
 
@@ -12,8 +12,48 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup_index.duplicate_pairs(spark, table(spark, d, "processed_files"), table(spark, d, "documents"))
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p6_packing(spark, d))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    reader = reading_level.train(documents, table(spark, d, "reading_labels"))[0]
+    return reading_level.graded(documents, reader).select("doc_id", "band")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    reader = reading_level.train(documents, table(spark, d, "reading_labels"))[0]
+    return reading_level.profile(reading_level.graded(documents, reader))
+
+
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return reading_level.validation_report(spark, *reading_level.train(documents, table(spark, d, "reading_labels")))
+
+
 QUERIES = {
     "p5_found": p5_found,
+    "p6_packing": p6_packing,
+    "p6_report": p6_report,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_profile": p8_profile,
+    "p8_validation": p8_validation,
 }
 
 ORACLE_SQL: dict[str, str] = {}
