@@ -45,3 +45,16 @@ QUERIES = {
     "p3_records": p3_records,
     "p4_found": p4_found,
 }
+
+_KEYS = """names AS (SELECT lower(trim(country)) AS s, min(trim(country)) AS code FROM boundaries GROUP BY 1 UNION ALL
+    SELECT lower(trim(name)), min(trim(country)) FROM boundaries WHERE lower(trim(name)) NOT IN (SELECT lower(trim(country)) FROM boundaries) GROUP BY 1),
+  lib AS (SELECT * FROM files WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY seen_at DESC NULLS LAST) = 1),
+  k AS (SELECT coalesce(code, upper(trim(location.country))) AS country, nullif(lower(trim(location.city)), '') AS city, coalesce(length, 0) AS length
+    FROM lib LEFT JOIN names ON s = lower(trim(location.country)) WHERE trim(location.country) <> ''),
+  totals AS (SELECT 'country' AS key_kind, country, '' AS city, count(*) AS files, CAST(sum(length) AS BIGINT) AS total_length FROM k GROUP BY 2
+    UNION ALL SELECT 'city', country, city, count(*), CAST(sum(length) AS BIGINT) FROM k WHERE city IS NOT NULL GROUP BY 2, 3)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"WITH {_KEYS} SELECT key_kind, country, city FROM totals QUALIFY files >= 0.02 * sum(files) OVER (PARTITION BY key_kind)",
+    "p1_key_totals": f"WITH {_KEYS} SELECT * FROM totals",
+}

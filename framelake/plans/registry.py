@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.plans import core_queries
+from framelake.plans import core_queries, media_queries
 
-FLAGSHIP = core_queries.p1_found
+FLAGSHIP = media_queries.organise_plan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core_queries.QUERIES)
+    return dict(core_queries.QUERIES) | media_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core_queries.ORACLE_SQL) | media_queries.ORACLE_SQL
