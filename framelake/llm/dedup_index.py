@@ -44,16 +44,17 @@ _PIECES = 1 << 20
 
 def complete_checksum(column: Column) -> Column:
     """The 64 lower-case hexadecimal digits of a checksum in any writing, else null."""
-    text = F.regexp_replace(F.lower(column), r"^\s*(sha-?_?256|hash|checksum)?\s*[:=]?\s*(0x)?", "")
-    digits = F.regexp_replace(text, r"[\s:._\-]", "")
-    return F.when(digits.rlike(r"\A[0-9a-f]{64}\z"), digits)
+    text = F.translate(F.lower(column), " \t\r\n:=-._", "")
+    for prefix in ("sha256", "0x"):
+        text = F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1 << 20)).otherwise(text)
+    return F.when((F.length(text) == 64) & (F.translate(text, "0123456789abcdef", "") == ""), text)
 
 
 def entries_of(processed: DataFrame) -> DataFrame:
     """``entry_id, batch_no, checksum, doc_id``: each entry once, by its latest delivery."""
-    row = F.struct("accepted_at", "batch_no", "checksum", "doc_id")
+    row = F.struct("accepted_at", "batch_no", complete_checksum(F.col("checksum")).alias("checksum"), "doc_id")
     one = processed.where("entry_id is not null and batch_no is not null").groupBy("entry_id").agg(F.max(row).alias("m"))
-    return one.select("entry_id", "m.batch_no", complete_checksum(F.col("m.checksum")).alias("checksum"), "m.doc_id")
+    return one.select("entry_id", "m.batch_no", "m.checksum", "m.doc_id")
 
 
 _FEATURES = "doc_id bigint, class_key string, vector binary, sketch binary"

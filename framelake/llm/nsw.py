@@ -19,8 +19,11 @@ import numpy as np
 NEAR_OUT = 8
 NEAR = 14  # near links kept of a node
 RANDOM = 2  # random links of a node
-BUILD_BEAM = 16
+BUILD_BEAM = 24
 BLOCK = 512
+EXPAND = 1  # nodes a query expands at once
+#: Sketches are compared only from this cosine of the short vectors on; near copies lie far above it.
+LEAST_COSINE = 0.35
 BEAMS = (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -124,30 +127,37 @@ class Graph:
             hit = hamming(sketches[asker], self.sketches[new]) <= radius
             met.append((asker[hit], new[hit]))
         live = np.arange(q)
+        degree = self.links.shape[1]
         while len(live):
             own = keys[live]
             fresh = (own & _ONE) == 0
-            slot = fresh.argmax(axis=1)
-            going = fresh[np.arange(len(live)), slot]
-            live, own, slot = live[going], own[going], slot[going]
-            if not len(live):
-                break
-            turn = np.arange(len(live))
-            node = _nodes(own[turn, slot])
-            own[turn, slot] |= _ONE
+            turn = np.cumsum(fresh, axis=1)
+            going = turn[:, -1] > 0
+            if not going.all():
+                live, own, fresh, turn = live[going], own[going], fresh[going], turn[going]
+                if not len(live):
+                    break
+            at, slot = np.nonzero(fresh & (turn <= EXPAND))
+            node = _nodes(own[at, slot])
+            own[at, slot] |= _ONE
             to = self.links[node]
-            spot = (live * (n + 1) + 1)[:, None] + to
+            spot = (live[at] * (n + 1) + 1)[:, None] + to
             fresh_link = ~seen[spot]
             seen[spot] = True
             row, col = np.nonzero(fresh_link)
-            new, asker = to[row, col], live[row]
-            if radius is not None:
-                hit = hamming(sketches[asker], self.sketches[new]) <= radius
-                met.append((asker[hit], new[hit]))
+            new, asker = to[row, col], live[at[row]]
             cosine = np.einsum("ij,ij->i", vectors[asker], self.vectors[new])
-            added = np.full(to.shape, _NONE)
-            added[row, col] = _keys(cosine, new)
-            keys[live] = np.sort(np.hstack([own, added]), axis=1)[:, :beam]
+            if radius is not None:
+                close = np.flatnonzero(cosine >= LEAST_COSINE)
+                close = close[hamming(sketches[asker[close]], self.sketches[new[close]]) <= radius]
+                met.append((asker[close], new[close]))
+            added = np.full((len(live), EXPAND * degree), _NONE)
+            added[at[row], (turn[at, slot] - 1)[row] * degree + col] = _keys(cosine, new)
+            merged = np.sort(np.hstack([own, added]), axis=1)[:, : beam + EXPAND]
+            # Two nodes expanded together may share a link; the second copy leaves a hole that counts as expanded.
+            twin = (merged[:, 1:] >> _ONE) == (merged[:, :-1] >> _ONE)
+            merged[:, 1:][twin] = _NONE
+            keys[live] = merged[:, :beam]
         if not met:
             return keys, (np.empty(0, np.int64), np.empty(0, np.int64))
         return keys, (np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]))
@@ -175,7 +185,7 @@ class Graph:
             a, b = pairs // len(self.vectors), pairs % len(self.vectors)
         return a, b
 
-    def tune(self, probes: tuple[np.ndarray, np.ndarray], radius: int, goal: float = 0.995) -> float:
+    def tune(self, probes: tuple[np.ndarray, np.ndarray], radius: int, goal: float = 0.99) -> float:
         """Widen ``beam`` until searches find ``goal`` of what exhaustive search finds within ``radius``.
 
         Where no listed beam is wide enough, the beam is the whole graph. Returns the recall reached.

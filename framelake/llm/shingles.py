@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -22,9 +21,17 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-@lru_cache(maxsize=200_000)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+class _WordHashes(dict):
+    """Hashes of the words met so far; emptied when it gets large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hash_of = _WordHashes().__getitem__
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -35,18 +42,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of each text the sorted distinct hashes of its word sequences of ``width``, and of its words."""
-    grams, singles = [], []
-    for text in texts:
-        found = words(text)
-        h = np.fromiter(map(_word_hash, found), dtype=np.uint64, count=len(found))
-        singles.append(np.unique(h))
-        if len(h) < width:
-            grams.append(np.empty(0, np.uint64))
-            continue
-        rolled = np.zeros(len(h) - width + 1, dtype=np.uint64)
-        for i in range(width):
-            rolled = _mix(rolled * _M1 + h[i : len(h) - width + 1 + i] * _M2 + _M3)
-        grams.append(np.unique(rolled))
+    found = [words(t) for t in texts]
+    ends = np.cumsum([len(f) for f in found])
+    h = np.fromiter((_hash_of(w) for f in found for w in f), dtype=np.uint64, count=int(ends[-1]) if len(ends) else 0)
+    rolled = np.zeros(max(0, len(h) - width + 1), dtype=np.uint64)
+    for i in range(width):  # over all texts at once; sequences across a border are not read below
+        rolled = _mix(rolled * _M1 + h[i : len(h) - width + 1 + i] * _M2 + _M3) if len(rolled) else rolled
+    grams, singles, start = [], [], 0
+    for end in ends.tolist():
+        singles.append(np.unique(h[start:end]))
+        grams.append(np.unique(rolled[start : end - width + 1]) if end - start >= width else np.empty(0, np.uint64))
+        start = end
     return grams, singles
 
 
