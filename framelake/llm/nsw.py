@@ -21,7 +21,6 @@ NEAR = 14  # near links kept of a node
 RANDOM = 2  # random links of a node
 BUILD_BEAM = 24
 BLOCK = 512
-EXPAND = 1  # nodes a query expands at once
 #: Sketches are compared only from this cosine of the short vectors on; near copies lie far above it.
 LEAST_COSINE = 0.35
 BEAMS = (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
@@ -128,36 +127,33 @@ class Graph:
             met.append((asker[hit], new[hit]))
         live = np.arange(q)
         degree = self.links.shape[1]
+        own, base = keys.copy(), live * (n + 1) + 1  # of the queries still going, in step with ``live``
         while len(live):
-            own = keys[live]
             fresh = (own & _ONE) == 0
-            turn = np.cumsum(fresh, axis=1)
-            going = turn[:, -1] > 0
+            slot = fresh.argmax(axis=1)
+            going = fresh[np.arange(len(live)), slot]
             if not going.all():
-                live, own, fresh, turn = live[going], own[going], fresh[going], turn[going]
+                keys[live[~going]] = own[~going]
+                live, own, slot, base = live[going], own[going], slot[going], base[going]
                 if not len(live):
                     break
-            at, slot = np.nonzero(fresh & (turn <= EXPAND))
-            node = _nodes(own[at, slot])
-            own[at, slot] |= _ONE
+            turn = np.arange(len(live))
+            node = _nodes(own[turn, slot])
+            own[turn, slot] |= _ONE
             to = self.links[node]
-            spot = (live[at] * (n + 1) + 1)[:, None] + to
-            fresh_link = ~seen[spot]
+            spot = to + base[:, None]
+            fresh_link = np.flatnonzero(~seen[spot])
             seen[spot] = True
-            row, col = np.nonzero(fresh_link)
-            new, asker = to[row, col], live[at[row]]
+            new, row = to.ravel()[fresh_link], fresh_link // degree
+            asker = live[row]
             cosine = np.einsum("ij,ij->i", vectors[asker], self.vectors[new])
             if radius is not None:
                 close = np.flatnonzero(cosine >= LEAST_COSINE)
                 close = close[hamming(sketches[asker[close]], self.sketches[new[close]]) <= radius]
                 met.append((asker[close], new[close]))
-            added = np.full((len(live), EXPAND * degree), _NONE)
-            added[at[row], (turn[at, slot] - 1)[row] * degree + col] = _keys(cosine, new)
-            merged = np.sort(np.hstack([own, added]), axis=1)[:, : beam + EXPAND]
-            # Two nodes expanded together may share a link; the second copy leaves a hole that counts as expanded.
-            twin = (merged[:, 1:] >> _ONE) == (merged[:, :-1] >> _ONE)
-            merged[:, 1:][twin] = _NONE
-            keys[live] = merged[:, :beam]
+            added = np.full(to.size, _NONE)
+            added[fresh_link] = _keys(cosine, new)
+            own = np.sort(np.hstack([own, added.reshape(to.shape)]), axis=1)[:, :beam]
         if not met:
             return keys, (np.empty(0, np.int64), np.empty(0, np.int64))
         return keys, (np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]))

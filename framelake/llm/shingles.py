@@ -56,6 +56,17 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray],
     return grams, singles
 
 
+_SEEDS = np.arange(1, SKETCH_WORDS + 1, dtype=np.uint64) * _M1
+
+
+def _bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows of bytes have each bit set; summed in short runs, so that small integers are enough."""
+    total = np.zeros(rows.shape[1] * 8, dtype=np.int64)
+    for at in range(0, len(rows), 65_535):
+        total += np.unpackbits(rows[at : at + 65_535], axis=1).sum(axis=0, dtype=np.uint16)
+    return total
+
+
 def sketches(grams: list[np.ndarray], singles: list[np.ndarray], dims: int = VECTOR_DIMS) -> tuple[np.ndarray, np.ndarray]:
     """Of each text a unit vector (rows, dims) float32 and a sign sketch (rows, SKETCH_WORDS) uint64.
 
@@ -70,8 +81,8 @@ def sketches(grams: list[np.ndarray], singles: list[np.ndarray], dims: int = VEC
         own = np.concatenate([grams[row], singles[row]])
         if not len(own):
             continue
-        spread = np.stack([_mix(own + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & 0xFFFFFFFFFFFFFFFF)) for w in range(SKETCH_WORDS)], axis=1)
-        votes = np.unpackbits(np.ascontiguousarray(spread).view(np.uint8), axis=1).sum(axis=0, dtype=np.int32) - len(own) / 2
+        directions = _mix(own[:, None] + _SEEDS)
+        votes = _bit_counts(directions.view(np.uint8)) - len(own) / 2
         bits_out[row] = np.packbits(votes > 0).view(np.uint64)
         length = np.linalg.norm(votes[:dims])
         vectors[row] = votes[:dims] / length if length else 0
