@@ -88,8 +88,31 @@ class Graph:
                 g.links[block, NEAR:] = order[rng.integers(0, done, size=(len(block), RANDOM))]
             done += len(block)
         g.pivots = order[: pivot_count(n)]
+        g._reach_all()
         return g
 
+    def _reach_all(self, rounds: int = 40) -> None:
+        """Make every node reachable: nodes that no walk from the pivots meets become pivots, if need be one for each island.
+
+        A node whose links back were all displaced by nearer ones could otherwise be found by no beam.
+        """
+        n = len(self.vectors)
+        reached = np.zeros(n + 1, dtype=bool)  # the last one stands for a missing link (-1)
+        reached[n] = True
+        new = self.pivots
+        for turn in range(rounds + 1):
+            while len(new):
+                reached[new] = True
+                met = np.unique(self.links[new])
+                new = met[~reached[met]]
+            left = np.flatnonzero(~reached[:n])
+            if not len(left):
+                break
+            linked = np.zeros(n + 1, dtype=bool)
+            linked[self.links[left].ravel()] = True
+            new = np.union1d(left[~linked[left]], left[:1]) if turn < rounds else left
+            self.pivots = np.concatenate([self.pivots, new])
+
     def _link(self, source: np.ndarray, key: np.ndarray, held: np.ndarray) -> None:
         """Merge new links into their sources' near lists, nearest first, none twice."""
         nodes = np.unique(source)
