@@ -14,9 +14,17 @@ from framelake.functions.text import sanitize_segment
 from framelake.functions.times import chosen_timestamp, in_zone, shifted
 
 
-def library(files: DataFrame) -> DataFrame:
-    """Each file once, by its latest delivery; rows without file_id are left out."""
-    rest = [c for c in files.columns if c != "file_id"]
+#: What :func:`enriched` reads.
+ENRICHED_FROM = ("ext", "created", "modified", "taken", "lat", "lon", "make", "model", "album_xmp", "album_iptc", "album_xp", "description")
+
+
+def library(files: DataFrame, *columns: str) -> DataFrame:
+    """Each file once, by its latest delivery; rows without file_id are left out.
+
+    Only ``columns`` (all where none are named) are read and shuffled: the optimiser cannot prune the fields
+    of the struct that the deliveries are compared by.
+    """
+    rest = list(columns) or [c for c in files.columns if c != "file_id"]
     one = files.where("file_id is not null").groupBy("file_id").agg(F.max(F.struct(F.col("seen_at").alias("_order"), *rest)).alias("_row"))
     return one.select("file_id", *[F.col("_row").getField(c).alias(c) for c in rest])
 

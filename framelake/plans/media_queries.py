@@ -36,8 +36,12 @@ def query(sql: str | None = None):
     return register
 
 
-def _lib(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.library(table(spark, d, "files"))
+def _lib(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return enrich.library(table(spark, d, "files"), *columns)
+
+
+DATES = ("taken", "created", "modified")
+POSITION = ("lat", "lon")
 
 
 # --- scan, validation ---------------------------------------------------------------------------------
@@ -55,7 +59,7 @@ def _rules(rows: DataFrame) -> list[filters.Rule]:
 
 
 def _validated(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lib(spark, d).withColumn("ts", F.coalesce("taken", "created", "modified"))
+    rows = _lib(spark, d, *DATES, "path", "length").withColumn("ts", F.coalesce("taken", "created", "modified"))
     return filters.validated(rows, _rules(rows))
 
 
@@ -78,18 +82,18 @@ def scan_totals(spark: SparkSession, d: str) -> DataFrame:
 SELECT file_id, 'MaxDate' AS rule FROM checked WHERE late UNION ALL SELECT file_id, 'MinDate' FROM checked WHERE early
 UNION ALL SELECT file_id, 'ExcludePattern' FROM checked WHERE pat IS NOT NULL""")
 def validate_all_failures(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lib(spark, d).withColumn("ts", F.coalesce("taken", "created", "modified"))
+    rows = _lib(spark, d, *DATES, "path").withColumn("ts", F.coalesce("taken", "created", "modified"))
     return rows.select("file_id", F.explode(filters.all_failures(_rules(rows))).alias("f")).select("file_id", "f.rule")
 
 
 @query(f"""WITH {LIB} SELECT file_id, path FROM lib WHERE len(string_split(CASE WHEN starts_with(lower(path), '/vault/') THEN substr(path, 8) ELSE regexp_extract(path, '([^/]*)$', 1) END, '/')) <= 3""")
 def scan_depth(spark: SparkSession, d: str) -> DataFrame:
-    return _lib(spark, d).where(filters.within_depth(F.col("path"), ROOT, 3)).select("file_id", "path")
+    return _lib(spark, d, "path").where(filters.within_depth(F.col("path"), ROOT, 3)).select("file_id", "path")
 
 
 @query(f"""WITH {LIB} SELECT file_id, coalesce(lower(ext) IN ('.jpg', '.jpeg', '.png', '.heic', '.mov', '.mp4', '.avi', '.cr2', '.raf', '.nef', '.arw', '.dng'), false) AS supported FROM lib""")
 def supported_files(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.enriched(_lib(spark, d), Settings()).select("file_id", "supported")
+    return enrich.enriched(_lib(spark, d, *enrich.ENRICHED_FROM), Settings()).select("file_id", "supported")
 
 
 # --- enrichment ---------------------------------------------------------------------------------------
@@ -98,19 +102,19 @@ def supported_files(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {LIB} SELECT file_id, epoch_us({TS}) AS ts_us, CASE WHEN taken IS NOT NULL THEN 'taken' WHEN created IS NOT NULL THEN 'created' WHEN modified IS NOT NULL THEN 'modified' END AS source FROM lib""")
 def choose_timestamp(spark: SparkSession, d: str) -> DataFrame:
     picked = times.chosen_timestamp(F.col("taken"), F.col("created"), F.col("modified"))
-    return _lib(spark, d).select("file_id", F.unix_micros(picked["ts"]).alias("ts_us"), picked["source"].alias("source"))
+    return _lib(spark, d, *DATES).select("file_id", F.unix_micros(picked["ts"]).alias("ts_us"), picked["source"].alias("source"))
 
 
 @query(f"WITH {LIB} SELECT file_id, epoch_us({TS}) + 95400000000 AS ts_us FROM lib")
 def time_offset(spark: SparkSession, d: str) -> DataFrame:
     ts = times.shifted(F.coalesce("taken", "created", "modified"), times.parse_offset("+1d2:30"))
-    return _lib(spark, d).select("file_id", F.unix_micros(ts).alias("ts_us"))
+    return _lib(spark, d, *DATES).select("file_id", F.unix_micros(ts).alias("ts_us"))
 
 
 @query(f"""WITH {LIB} SELECT file_id, CASE WHEN {USABLE} THEN round_even(lon / 15 * 2, 0) / 2 + 0.0 END AS hours,
   epoch_us({TS}) + CASE WHEN {USABLE} THEN CAST(round_even(lon / 15 * 2, 0) / 2 * 3600 * 1000000 AS BIGINT) ELSE 0 END AS ts_us FROM lib""")
 def timezone_gps(spark: SparkSession, d: str) -> DataFrame:
-    rows = enrich.enriched(_lib(spark, d), Settings(zone_mode="gps"))
+    rows = enrich.enriched(_lib(spark, d, *enrich.ENRICHED_FROM), Settings(zone_mode="gps"))
     return rows.select("file_id", (times.longitude_offset_hours(F.col("lon")) + 0.0).alias("hours"), F.unix_micros("ts").alias("ts_us"))
 
 
@@ -121,7 +125,7 @@ def timezone_gps(spark: SparkSession, d: str) -> DataFrame:
 SELECT file_id, nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(cam, '[\\x00-\\x1F<>:"/\\\\|?*]', '_', 'g')), '\\.+$', ''), '\\s+', ' ', 'g')), '') AS camera,
   nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace(alb, '[\\x00-\\x1F<>:"/\\\\|?*]', '_', 'g')), '\\.+$', ''), '\\s+', ' ', 'g')), '') AS album FROM c""".replace("WITH m", f"WITH {LIB}, m", 1))
 def camera_album(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.enriched(_lib(spark, d), Settings()).select("file_id", "camera", "album")
+    return enrich.enriched(_lib(spark, d, *enrich.ENRICHED_FROM), Settings()).select("file_id", "camera", "album")
 
 
 @query("""SELECT event_id, CAST(json_extract_string(j, '$.photoTakenTime.timestamp') AS BIGINT) * 1000000 AS taken_us,
@@ -160,7 +164,7 @@ _SANITIZED = """CASE WHEN trim(coalesce(description, '')) = '' THEN '' WHEN uppe
 @query(f"""WITH {LIB}, c AS (SELECT file_id, description, regexp_replace(trim(regexp_replace(description, '[\\x00-\\x1F<>:"/\\\\|?*]', '_', 'g')), '\\.+$', '') AS s FROM lib)
 SELECT file_id, {_SANITIZED} AS segment, coalesce(regexp_matches(description, '[\\x00-\\x1F<>:"/\\\\|?*]'), false) AS invalid FROM c""")
 def sanitize_segment(spark: SparkSession, d: str) -> DataFrame:
-    return _lib(spark, d).select("file_id", text.sanitize_segment(F.col("description")).alias("segment"), text.has_invalid_chars(F.col("description")).alias("invalid"))
+    return _lib(spark, d, "description").select("file_id", text.sanitize_segment(F.col("description")).alias("segment"), text.has_invalid_chars(F.col("description")).alias("invalid"))
 
 
 def _bytes_sql(column: str) -> str:
@@ -172,14 +176,14 @@ def _bytes_sql(column: str) -> str:
 
 @query(f"WITH {LIB} SELECT file_id, {_bytes_sql('length')} AS size_text FROM lib WHERE length IS NOT NULL")
 def format_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return _lib(spark, d).where("length is not null").select("file_id", text.format_bytes(F.col("length")).alias("size_text"))
+    return _lib(spark, d, "length").where("length is not null").select("file_id", text.format_bytes(F.col("length")).alias("size_text"))
 
 
 @query(f"""WITH {LIB} SELECT file_id, regexp_replace(name, '\\.[^.]*$', '') AS stem, regexp_extract(name, '(\\.[^.]*)$', 1) AS ext, regexp_extract(path, '([^/]*)$', 1) AS base, regexp_replace(path, '/[^/]*$', '') AS folder,
   CASE WHEN length(name) > 12 THEN '...' || right(name, 9) ELSE name END AS short FROM lib""")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     n, p = F.col("name"), F.col("path")
-    return _lib(spark, d).select("file_id", text.file_stem(n).alias("stem"), text.file_extension(n).alias("ext"), text.base_name(p).alias("base"), text.dir_name(p).alias("folder"), text.truncate_name(n, 12).alias("short"))
+    return _lib(spark, d, "name", "path").select("file_id", text.file_stem(n).alias("stem"), text.file_extension(n).alias("ext"), text.base_name(p).alias("base"), text.dir_name(p).alias("folder"), text.truncate_name(n, 12).alias("short"))
 
 
 @query("""SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE s || 's' END AS duration
@@ -219,7 +223,7 @@ def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LIB} SELECT file_id, path LIKE '/%' AND NOT list_contains(string_split_regex(path, '[/\\\\]'), '..') AND (lower(path) = '/vault/s0000003' OR starts_with(lower(path), '/vault/s0000003/')) AS safe FROM lib""")
 def path_safety(spark: SparkSession, d: str) -> DataFrame:
-    return _lib(spark, d).select("file_id", filters.safe_path(F.col("path"), "/vault/s0000003").alias("safe"))
+    return _lib(spark, d, "path").select("file_id", filters.safe_path(F.col("path"), "/vault/s0000003").alias("safe"))
 
 
 @query("SELECT doc_id, sha256(text) AS checksum FROM documents WHERE text IS NOT NULL")
@@ -234,7 +238,7 @@ def content_checksum(spark: SparkSession, d: str) -> DataFrame:
   {{'level': 'state', 'key': lower(location.state)}}, {{'level': 'country', 'key': lower(location.country)}}]) AS p FROM lib WHERE location IS NOT NULL)
 SELECT p.level AS level, p.key AS key, count(*) AS n FROM l WHERE trim(p.key) <> '' GROUP BY ALL""")
 def location_counts(spark: SparkSession, d: str) -> DataFrame:
-    return reports.location_counts(_lib(spark, d))
+    return reports.location_counts(_lib(spark, d, "location"))
 
 
 @query(f"""WITH {LIB} SELECT count(*) AS total_files, count(*) FILTER (lower(ext) IN {reports.PHOTO_EXTENSIONS}) AS photos, count(*) FILTER (lower(ext) IN {reports.VIDEO_EXTENSIONS}) AS videos,
@@ -242,12 +246,12 @@ def location_counts(spark: SparkSession, d: str) -> DataFrame:
   count(DISTINCT CASE WHEN trim(coalesce(location.city, location.district)) <> '' THEN lower(coalesce(location.city, location.district)) END) AS cities,
   CAST(coalesce(sum(length), 0) AS BIGINT) AS total_bytes, min(epoch_us({TS})) AS earliest_us, max(epoch_us({TS})) AS latest_us FROM lib""")
 def copy_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return reports.copy_statistics(_lib(spark, d).withColumn("ts", F.coalesce("taken", "created", "modified")))
+    return reports.copy_statistics(_lib(spark, d, *DATES, "ext", "location", "length").withColumn("ts", F.coalesce("taken", "created", "modified")))
 
 
 @query(f"WITH {LIB} SELECT lower(ext) AS ext, count(*) AS n FROM lib WHERE ext <> '' GROUP BY 1")
 def extension_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    return reports.extension_breakdown(_lib(spark, d))
+    return reports.extension_breakdown(_lib(spark, d, "ext"))
 
 
 def _top_sql(source: str, key: str, k: int) -> str:
@@ -257,25 +261,25 @@ SELECT CASE WHEN rn <= {k} THEN {key} ELSE '(other)' END AS {key}, CAST(sum(n) A
 
 @query(f"WITH {LIB}, e AS (SELECT lower(ext) AS ext, count(*) AS n FROM lib WHERE ext <> '' GROUP BY 1), {_top_sql('e', 'ext', 3)}")
 def extension_top(spark: SparkSession, d: str) -> DataFrame:
-    return reports.top_with_other(reports.extension_breakdown(_lib(spark, d)), "ext", 3)
+    return reports.top_with_other(reports.extension_breakdown(_lib(spark, d, "ext")), "ext", 3)
 
 
 @query(f"WITH {LIB}, e AS (SELECT lower(location.city) AS key, count(*) AS n FROM lib WHERE trim(location.city) <> '' GROUP BY 1), {_top_sql('e', 'key', 15)}")
 def city_top(spark: SparkSession, d: str) -> DataFrame:
-    return reports.top_with_other(reports.location_counts(_lib(spark, d)).where("level = 'city'").select("key", "n"), "key", 15)
+    return reports.top_with_other(reports.location_counts(_lib(spark, d, "location")).where("level = 'city'").select("key", "n"), "key", 15)
 
 
 @query(f"""WITH {LIB}, u AS (SELECT * FROM lib WHERE location IS NULL AND unknown_reason <> 'None')
 SELECT 'reason' AS kind, unknown_reason AS key, count(*) AS n FROM u GROUP BY 2
 UNION ALL SELECT 'extension', CASE WHEN coalesce(ext, '') = '' THEN '(no extension)' ELSE lower(ext) END, count(*) FROM u GROUP BY 2""")
 def unknown_report(spark: SparkSession, d: str) -> DataFrame:
-    return reports.unknown_report(_lib(spark, d))
+    return reports.unknown_report(_lib(spark, d, "location", "unknown_reason", "ext"))
 
 
 @query(f"""WITH {LIB} SELECT file_id, name, CASE unknown_reason WHEN 'NoGpsData' THEN 'No GPS data in file metadata' WHEN 'GpsExtractionError' THEN 'Error extracting GPS data' WHEN 'GeocodingFailed' THEN 'Geocoding failed to find location' ELSE 'Unknown' END AS reason_text,
   CASE unknown_reason WHEN 'NoGpsData' THEN 'NO-GPS' WHEN 'GpsExtractionError' THEN 'GPS-ERR' WHEN 'GeocodingFailed' THEN 'GEO-FAIL' ELSE 'UNKNOWN' END AS reason_code FROM lib WHERE location IS NULL AND unknown_reason <> 'None'""")
 def unknown_files(spark: SparkSession, d: str) -> DataFrame:
-    return reports.unknown_files(_lib(spark, d))
+    return reports.unknown_files(_lib(spark, d, "location", "unknown_reason", "name"))
 
 
 # --- duplicates, pairs, related -----------------------------------------------------------------------
@@ -283,25 +287,25 @@ def unknown_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LIB} SELECT lower(trim(checksum)) AS checksum, count(*) AS n, min(path) AS first_path, array_to_string(list_sort(list(path)), '|') AS paths FROM lib WHERE trim(checksum) <> '' GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return joins.duplicate_groups(_lib(spark, d)).withColumn("paths", F.array_join("paths", "|"))
+    return joins.duplicate_groups(_lib(spark, d, "path", "checksum")).withColumn("paths", F.array_join("paths", "|"))
 
 
 @query(f"WITH {LIB} SELECT lower(trim(checksum)) AS checksum, min(path) AS first_path FROM lib WHERE trim(checksum) <> '' GROUP BY 1")
 def unique_first(spark: SparkSession, d: str) -> DataFrame:
-    return joins.first_of_checksum(_lib(spark, d))
+    return joins.first_of_checksum(_lib(spark, d, "path", "checksum"))
 
 
 @query(f"""WITH {LIB}, f AS (SELECT lower(trim(checksum)) AS c, min(path) AS first_path FROM lib WHERE trim(checksum) <> '' GROUP BY 1)
 SELECT file_id, path, first_path AS original FROM lib JOIN f ON lower(trim(checksum)) = c WHERE lower(path) <> lower(first_path)""")
 def duplicate_of(spark: SparkSession, d: str) -> DataFrame:
-    return joins.duplicate_of(_lib(spark, d))
+    return joins.duplicate_of(_lib(spark, d, "path", "checksum"))
 
 
 @query(f"""WITH {LIB}, p AS (SELECT dir, lower(stem) AS s, arg_min(file_id, (CASE WHEN location IS NULL THEN 1 ELSE 0 END, path)) AS photo, arg_min(location, (CASE WHEN location IS NULL THEN 1 ELSE 0 END, path)) AS loc
   FROM lib WHERE lower(ext) IN ('.heic', '.heif', '.jpg', '.jpeg') AND (location IS NOT NULL OR taken IS NOT NULL OR created IS NULL) GROUP BY 1, 2)
 SELECT v.file_id, p.photo AS paired_with, p.loc.city AS city FROM lib v JOIN p ON v.dir = p.dir AND lower(v.stem) = p.s WHERE lower(v.ext) = '.mov' AND v.location IS NULL AND p.loc IS NOT NULL""")
 def live_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = enrich.enriched(_lib(spark, d), Settings())
+    rows = enrich.enriched(_lib(spark, d, *enrich.ENRICHED_FROM, "path", "dir", "stem", "location", "unknown_reason"), Settings())
     return joins.live_pairs(rows).where("paired_with is not null").select("file_id", "paired_with", F.col("location.city").alias("city"))
 
 
@@ -313,7 +317,7 @@ def live_pairs(spark: SparkSession, d: str) -> DataFrame:
 SELECT file_id, cid AS from_id, la AS lat, lo AS lon, abs(us - cus) AS gap_us FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
 WHERE abs(us - cus) <= 7200000000 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY abs(us - cus), cus DESC) = 1""")
 def companion_position(spark: SparkSession, d: str) -> DataFrame:
-    rows = enrich.enriched(_lib(spark, d), Settings())
+    rows = enrich.enriched(_lib(spark, d, *enrich.ENRICHED_FROM, "location", "unknown_reason"), Settings())
     need = F.col("location").isNull() & (F.col("unknown_reason") == "NoGpsData") & F.col("lat").isNull()
     return joins.nearest_position(rows.withColumn("needs_position", need), 120)
 
@@ -321,7 +325,7 @@ def companion_position(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {LIB} SELECT m.file_id AS main_id, r.file_id AS related_id FROM lib m JOIN lib r ON m.dir = r.dir AND lower(m.path) <> lower(r.path)
   AND (lower(r.stem) = lower(m.stem) OR (starts_with(lower(r.stem), lower(m.stem)) AND substr(lower(r.name), length(m.stem) + 1, 1) IN ('.', '_')))""")
 def related_files(spark: SparkSession, d: str) -> DataFrame:
-    return joins.related_files(_lib(spark, d), "strict")
+    return joins.related_files(_lib(spark, d, "path", "dir", "name", "stem"), "strict")
 
 
 @query(f"""WITH {LIB}, s AS (SELECT DISTINCT regexp_replace(full_path, '/[^/]*$', '') AS dir, regexp_extract(full_path, '([^/]*)$', 1) AS name, full_path AS path FROM scan_results WHERE lower(full_path) LIKE '%.xmp')
@@ -330,7 +334,7 @@ FROM lib l JOIN s ON l.dir = s.dir AND lower(s.name) IN (lower(l.name) || '.xmp'
 def sidecar_lookup(spark: SparkSession, d: str) -> DataFrame:
     held = table(spark, d, "scan_results").where(F.lower("full_path").endswith(".xmp")).select(F.col("full_path").alias("path")).distinct()
     held = held.select(text.dir_name(F.col("path")).alias("dir"), text.base_name(F.col("path")).alias("name"), "path")
-    return joins.sidecar_matches(_lib(spark, d), held, (".xmp",))
+    return joins.sidecar_matches(_lib(spark, d, "dir", "name", "stem"), held, (".xmp",))
 
 
 # --- plans --------------------------------------------------------------------------------------------
@@ -375,20 +379,20 @@ _THRESHOLD = Settings(source=ROOT, destination="/out/{year}/{city?min=50|country
 SELECT file_id, {_NORMAL.format("'/out/' || strftime(timezone('UTC', " + TS + "), '%Y') || '/' || CASE WHEN " + _clean_sql('ci') + " <> '' AND c.n >= 50 THEN " + _clean_sql('ci') + " WHEN " + _clean_sql('co') + " <> '' AND o.n >= 20 THEN " + _clean_sql('co') + " ELSE 'Misc' END || '/' || coalesce(album, '') || '/' || stem || ext")} AS destination
 FROM n LEFT JOIN c ON c.k = lower(ci) LEFT JOIN o ON o.k = lower(co) LEFT JOIN (SELECT file_id, album FROM ({ORACLE_SQL['camera_album'].replace(f'WITH {LIB}, ', 'WITH ')})) USING (file_id)""")
 def threshold_path(spark: SparkSession, d: str) -> DataFrame:
-    return organise.destinations(_lib(spark, d), _THRESHOLD).select("file_id", "destination")
+    return organise.destinations(_lib(spark, d, *enrich.ENRICHED_FROM, "path", "dir", "name", "stem", "location"), _THRESHOLD).select("file_id", "destination")
 
 
 @query(f"""WITH {LIB}, d AS (SELECT file_id, path, '/flat/' || lower(name) AS destination FROM lib), p AS (SELECT *, row_number() OVER (PARTITION BY lower(destination) ORDER BY path, file_id) - 1 AS k FROM d)
 SELECT file_id, CASE WHEN k = 0 THEN destination END AS resolved FROM p""")
 def collision_skip(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lib(spark, d).select("file_id", F.concat_ws("\x00", "path", F.lpad(F.col("file_id").cast("string"), 20, "0")).alias("path"), F.concat(F.lit("/flat/"), F.lower("name")).alias("destination"))
+    rows = _lib(spark, d, "path", "name").select("file_id", F.concat_ws("\x00", "path", F.lpad(F.col("file_id").cast("string"), 20, "0")).alias("path"), F.concat(F.lit("/flat/"), F.lower("name")).alias("destination"))
     return collisions.resolve_collisions(rows, mode="skip").select("file_id", "resolved")
 
 
 @query(f"WITH {LIB} SELECT file_id, path FROM lib WHERE NOT EXISTS (SELECT 1 FROM scan_results s WHERE lower(s.full_path) = lower(lib.path))")
 def not_existing(spark: SparkSession, d: str) -> DataFrame:
     held = table(spark, d, "scan_results").select(F.col("full_path").alias("path"))
-    return joins.not_existing(_lib(spark, d).select("file_id", "path"), held, "path")
+    return joins.not_existing(_lib(spark, d, "path").select("file_id", "path"), held, "path")
 
 
 # --- places and borders -------------------------------------------------------------------------------
@@ -408,7 +412,7 @@ def _geohash_sql(lat: str, lon: str, precision: int) -> str:
 
 @query(f"WITH {LIB} SELECT file_id, {_geohash_sql('lat', 'lon', 4)} AS cell FROM lib WHERE {USABLE}")
 def geohash_cells(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lib(spark, d).where(enrich.has_coordinates(F.col("lat"), F.col("lon")))
+    rows = _lib(spark, d, *POSITION).where(enrich.has_coordinates(F.col("lat"), F.col("lon")))
     return rows.select("file_id", geo.geohash(F.col("lat"), F.col("lon"), 4).alias("cell"))
 
 
@@ -449,7 +453,7 @@ def _near_sql(classes: str, limit: str) -> str:
   c AS (SELECT * FROM near WHERE kind >= 2 QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY round(km, 6), place_id) = 1)
 SELECT a.lat, a.lon, a.place_id AS any_id, round(round(a.km, 6), 3) AS any_km, c.place_id AS city_id, a.admin1 AS state, a.country AS country FROM a LEFT JOIN c ON a.lat = c.lat AND a.lon = c.lon""")
 def nearest_place(spark: SparkSession, d: str) -> DataFrame:
-    got = geocode.nearest_places(_lib(spark, d).select("lat", "lon"), geocode.place_index(table(spark, d, "places")))
+    got = geocode.nearest_places(_lib(spark, d, *POSITION).select("lat", "lon"), geocode.place_index(table(spark, d, "places")))
     return got.select("lat", "lon", "any_id", F.round("any_km", 3).alias("any_km"), "city_id", "state", "country")
 
 
@@ -458,7 +462,7 @@ def nearest_place(spark: SparkSession, d: str) -> DataFrame:
   c AS (SELECT * FROM r WHERE population >= 100000 QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY far, CASE WHEN far THEN 0 ELSE -priority END, round(km, 6), place_id) = 1)
 SELECT a.lat, a.lon, a.place_id AS any_id, c.place_id AS city_id FROM a LEFT JOIN c ON a.lat = c.lat AND a.lon = c.lon""")
 def streamed_geocode(spark: SparkSession, d: str) -> DataFrame:
-    return geocode.streamed_geocode(_lib(spark, d).select("lat", "lon"), geocode.place_index(table(spark, d, "places"), classes=("P", "A")))
+    return geocode.streamed_geocode(_lib(spark, d, *POSITION).select("lat", "lon"), geocode.place_index(table(spark, d, "places"), classes=("P", "A")))
 
 
 def _odd_sql(ring: str) -> str:
@@ -476,13 +480,13 @@ _INSIDE = f"""{LIB}, p AS (SELECT DISTINCT lat, lon FROM lib WHERE {USABLE}),
 
 @query(f"WITH {_INSIDE} SELECT * FROM inside")
 def containing_polygons(spark: SparkSession, d: str) -> DataFrame:
-    return regions.containing_polygons(_lib(spark, d).select("lat", "lon"), table(spark, d, "boundaries"))
+    return regions.containing_polygons(_lib(spark, d, *POSITION).select("lat", "lon"), table(spark, d, "boundaries"))
 
 
 @query(f"""WITH {_INSIDE}, g AS (SELECT lat, lon, list_sort(list(DISTINCT country)) AS c FROM inside GROUP BY 1, 2)
 SELECT p.lat, p.lon, c[1] AS country, coalesce(array_to_string(c, ','), '') AS candidates, c IS NULL AS is_ocean, coalesce(len(c) > 1, false) AS is_border FROM p LEFT JOIN g ON p.lat = g.lat AND p.lon = g.lon""")
 def country_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return regions.country_lookup(_lib(spark, d).select("lat", "lon"), table(spark, d, "boundaries")).withColumn("candidates", F.array_join("candidates", ","))
+    return regions.country_lookup(_lib(spark, d, *POSITION).select("lat", "lon"), table(spark, d, "boundaries")).withColumn("candidates", F.array_join("candidates", ","))
 
 
 @query("""SELECT country, polygon_id, list_min(list_transform(ring, lambda q: q.lat)) AS min_lat, list_min(list_transform(ring, lambda q: q.lon)) AS min_lon,
@@ -493,7 +497,7 @@ def bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def boundary_geocode(spark: SparkSession, d: str) -> DataFrame:
-    points = _lib(spark, d).select("lat", "lon")
+    points = _lib(spark, d, *POSITION).select("lat", "lon")
     countries = regions.country_lookup(points, table(spark, d, "boundaries")).select("lat", "lon", "country")
     return geocode.reverse_geocode(points, geocode.place_index(table(spark, d, "places")), countries=countries)
 
@@ -505,7 +509,7 @@ def cell_countries(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def edge_points(spark: SparkSession, d: str) -> DataFrame:
-    return regions.edge_points(_lib(spark, d).select("lat", "lon"), table(spark, d, "boundaries"), 0.05)
+    return regions.edge_points(_lib(spark, d, *POSITION).select("lat", "lon"), table(spark, d, "boundaries"), 0.05)
 
 
 @query()
@@ -573,10 +577,10 @@ def latest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def plan_hash(spark: SparkSession, d: str) -> DataFrame:
-    return state.plan_hash(_lib(spark, d))
+    return state.plan_hash(_lib(spark, d, "path", "length"))
 
 
 @query(f"WITH {LIB} SELECT path, old_length, length AS new_length FROM lib JOIN (SELECT full_path, max(size) - max(size) % 1024 AS old_length FROM scan_results GROUP BY 1) ON path = full_path WHERE length IS DISTINCT FROM old_length ORDER BY path LIMIT 10")
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
     recorded = table(spark, d, "scan_results").groupBy(F.col("full_path").alias("path")).agg((F.max("size") - F.max("size") % 1024).alias("length"))  # recorded in whole kilobytes
-    return state.changed_files(_lib(spark, d).select("path", "length"), recorded)
+    return state.changed_files(_lib(spark, d, "path", "length").select("path", "length"), recorded)

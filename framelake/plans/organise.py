@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framelake.config import Settings
 from framelake.functions.text import dir_name
 from framelake.operators import collisions, filters, template
-from framelake.operators.enrich import enriched, library
+from framelake.operators.enrich import ENRICHED_FROM, enriched, library
 from framelake.operators.geocode import country_names, with_country_name
 from framelake.operators.joins import first_of_checksum, related_destination, related_files
 
@@ -40,7 +40,8 @@ def plan(files: DataFrame, settings: Settings, boundaries: DataFrame | None = No
     Files delivered more than once count once. With duplicate handling ``skip`` only the first path of a
     checksum is planned. Destinations outside the template's root fail the query.
     """
-    rows = destinations(library(files), settings, boundaries).where("is_valid")
+    needed = ("path", "dir", "name", "stem", "length", "location", "checksum", *ENRICHED_FROM)
+    rows = destinations(library(files, *needed), settings, boundaries).where("is_valid")
     if settings.duplicate_handling == "skip":
         first = first_of_checksum(rows).withColumnRenamed("checksum", "_sum")
         rows = rows.join(first, F.lower(F.trim("checksum")) == F.col("_sum"), "left").where(F.col("first_path").isNull() | (F.col("first_path") == F.col("path")))
@@ -54,7 +55,7 @@ def with_related(planned: DataFrame, files: DataFrame, mode: str) -> DataFrame:
 
     A file that is related to one with an earlier path is no operation of its own.
     """
-    lib = library(files).select("file_id", "path", "dir", "name", "stem")
+    lib = library(files, "path", "dir", "name", "stem")
     pairs = related_files(lib, mode)
     names = lib.select("file_id", "path", "name")
     m = names.select(F.col("file_id").alias("main_id"), F.col("path").alias("main_path"), F.col("name").alias("main_name"))

@@ -13,7 +13,7 @@ from framelake.sources.exif import media_metadata
 def scan(spark: SparkSession, root: str, max_depth: int | None = None, content: bool = False) -> DataFrame:
     """``path, dir, name, stem, ext, length, modified`` (and ``content``) of all files under a folder.
 
-    Listing is distributed by the file source; ``content`` isn't read from disk unless it is asked for.
+    Files of length 0 hold nothing and are left out by the file source. Listing is distributed by it; ``content`` isn't read from disk unless it is asked for.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:/*", "/")

@@ -5,6 +5,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -15,7 +16,7 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 def canonical(frame, columns):
-    show = lambda v: "NULL" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{float(v):.9g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    show = lambda v: "NULL" if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else f"{float(v):.9g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
     return sorted(tuple(show(v.item() if hasattr(v, "item") else v) for v in row) for row in frame[columns].itertuples(index=False))
 
 

@@ -52,7 +52,8 @@ def test_scan_folder(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "x.jpg").write_bytes(jpeg())
     (tmp_path / "a" / "b" / "y.tar.gz").write_bytes(b"hello")
-    (tmp_path / "z").write_bytes(b"")
+    (tmp_path / "z").write_bytes(b"z")
+    (tmp_path / "empty").write_bytes(b"")
     rows = {r.name: r for r in files.scan(spark, str(tmp_path)).collect()}
     assert set(rows) == {"x.jpg", "y.tar.gz", "z"} and (rows["y.tar.gz"].stem, rows["y.tar.gz"].ext, rows["z"].ext) == ("y.tar", ".gz", "")
     assert rows["x.jpg"].dir == str(tmp_path / "a")
