@@ -58,3 +58,35 @@ ORACLE_SQL: dict[str, str] = {
     "p1_found": f"WITH {_KEYS} SELECT key_kind, country, city FROM totals QUALIFY files >= 0.02 * sum(files) OVER (PARTITION BY key_kind)",
     "p1_key_totals": f"WITH {_KEYS} SELECT * FROM totals",
 }
+
+_USABLE = "lat IS NOT NULL AND lon IS NOT NULL AND abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0)"
+_NEXT = "{r}[CASE WHEN i = len({r}) THEN 1 ELSE i + 1 END]"
+
+
+def _odd(ring: str) -> str:
+    n = _NEXT.format(r=ring)
+    return (
+        f"len(list_filter(range(1, len({ring}) + 1), lambda i: (({ring}[i].lat > p.lat) <> ({n}.lat > p.lat))"
+        f" AND p.lon < ({n}.lon - {ring}[i].lon) * (p.lat - {ring}[i].lat) / ({n}.lat - {ring}[i].lat) + {ring}[i].lon)) % 2 = 1"
+    )
+
+
+_A = "(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2))"
+ORACLE_SQL["p2_found"] = f"""WITH p AS (SELECT DISTINCT file_id, lat, lon FROM files WHERE file_id IS NOT NULL AND {_USABLE}),
+  q AS (SELECT * FROM places WHERE {_USABLE} AND population >= 1000),
+  box AS (SELECT *, list_min(list_transform(ring, lambda v: v.lat)) AS y0, list_max(list_transform(ring, lambda v: v.lat)) AS y1, list_min(list_transform(ring, lambda v: v.lon)) AS x0, list_max(list_transform(ring, lambda v: v.lon)) AS x1 FROM boundaries),
+  hit AS (SELECT p.*, polygon_id, holes FROM p JOIN box ON p.lat BETWEEN y0 AND y1 AND p.lon BETWEEN x0 AND x1 WHERE {_odd('ring')}),
+  hole AS (SELECT p.file_id, p.polygon_id FROM (SELECT *, unnest(holes) AS h FROM hit) p WHERE {_odd('h')})
+SELECT file_id, 'near' AS match_kind, place_id AS match_id FROM p JOIN q ON q.lat BETWEEN p.lat - 0.02 AND p.lat + 0.02 WHERE 2 * 6371.0 * atan2(sqrt({_A}), sqrt(greatest(0, 1 - {_A}))) <= 2
+UNION ALL SELECT file_id, 'inside', CAST(polygon_id AS BIGINT) FROM hit ANTI JOIN hole USING (file_id, polygon_id)"""
+
+_QUOTED, _BARE = '"(?:[^"]|"")*"', '[^"\\t][^\\t]*|'
+ORACLE_SQL["p3_found"] = f"""WITH s AS (SELECT line_id, raw_line, regexp_full_match(raw_line, '(?s)(?:{_QUOTED}|{_BARE})(?:\\t(?:{_QUOTED}|{_BARE}))*') AS fine,
+    list_transform(regexp_extract_all(raw_line || chr(9), '(?s)({_QUOTED}|[^\\t]*)\\t', 1), lambda f: CASE WHEN starts_with(f, '"') THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END) AS f FROM gazetteer_raw),
+  r AS (SELECT line_id, CASE WHEN NOT fine THEN 'quoting' WHEN len(f) <> 19 THEN 'columns'
+    WHEN NOT regexp_full_match(f[5], '-?[0-9]{{1,3}}(\\.[0-9]+)?') OR abs(try_cast(f[5] AS DOUBLE)) > 90 THEN 'latitude'
+    WHEN NOT regexp_full_match(f[6], '-?[0-9]{{1,3}}(\\.[0-9]+)?') OR abs(try_cast(f[6] AS DOUBLE)) > 180 THEN 'longitude'
+    WHEN NOT EXISTS (SELECT 1 FROM feature_codes c WHERE c.feature_class = f[7] AND c.feature_code = f[8]) THEN 'feature_code'
+    WHEN f[11] <> '' AND NOT EXISTS (SELECT 1 FROM admin1_codes a WHERE a.country = f[9] AND a.admin1 = f[11]) THEN 'state'
+    WHEN f[15] <> '' AND NOT regexp_full_match(f[15], '[0-9]{{1,10}}') THEN 'population' END AS reason FROM s)
+SELECT line_id, reason FROM r WHERE reason IS NOT NULL"""
