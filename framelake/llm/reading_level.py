@@ -20,6 +20,8 @@ BANDS = ("low", "mid", "high")
 #: Most labelled documents a model is fitted on, the ones that come first in a seeded order.
 MOST_LABELLED = 20_000
 FOLDS = 5
+#: Tasks that compute the features of the labelled documents.
+TRAINING_TASKS = 24
 #: Fewest labelled documents to fit a model; with fewer the grade is that of the Flesch-Kincaid formula.
 LEAST_LABELLED = 30
 #: Limits of the bands where there is no model.
@@ -77,7 +79,8 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, most: int = MOST_LABE
     """``doc_id, source, grade, raters, x`` of at most ``most`` labelled documents, by a seeded order."""
     texts = readable(documents).select("doc_id", clean_source(F.col("source")).alias("source"), "text")
     rated = texts.join(opinions(labels), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(most)
-    return _with_features(rated, ["doc_id", "source", "grade", "raters"])
+    # A limit leaves one partition; the texts are spread again before they are worked on.
+    return _with_features(rated.repartition(TRAINING_TASKS, "doc_id"), ["doc_id", "source", "grade", "raters"])
 
 
 def fold_of(sources: pd.Series, folds: int = FOLDS) -> np.ndarray:

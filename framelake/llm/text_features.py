@@ -19,12 +19,23 @@ ABSTRACT_ENDINGS = ("tion", "sion", "ment", "ness", "ity", "ance", "ence", "ism"
 _CLASSES = [frozenset(c) for c in (SUBORDINATORS, PREPOSITIONS, CONNECTIVES, PRONOUNS, AUXILIARIES, ARTICLES, CONJUNCTIONS)]
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _END = re.compile(r"(?:(?<=[.!?])|(?<=[.!?][\"'”’)\]]))\s+(?=[\"'“‘(\[]?[^\W\d_a-z]|[*\-•]\s|\d+[.)]\s)|\n\s*\n|\n(?=\s*(?:[*\-•]|\d+[.)])\s)")
-_FILE = re.compile(r"\S*[/\\]\S*|\b\w+\.(?:jpe?g|png|heic|mov|mp4|nef|xmp|json|txt|tsv|tiff?)\b", re.I)
+_FILE = re.compile(r"(?<!\S)\S*[/\\]\S*|\b\w+\.(?:jpe?g|png|heic|mov|mp4|nef|xmp|json|txt|tsv|tiff?)\b", re.I)
 _VOWELS = re.compile(r"[aeiouyäöüáéíóúàèùâêîôû]+")
 
 QUANTILES = (10, 50, 90)
 
 
+def quantiles(values: np.ndarray, at: tuple[int, ...] = QUANTILES) -> list[float]:
+    """Linearly interpolated percentiles of a non-empty array."""
+    ordered = np.sort(values)
+    out = []
+    for q in at:
+        place = q / 100 * (len(ordered) - 1)
+        low = int(place)
+        out.append(float(ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (place - low)))
+    return out
+
+
 def syllables(word: str) -> int:
     groups = len(_VOWELS.findall(word))
     if word.endswith("e") and not word.endswith(("le", "ee")) and groups > 1:
@@ -82,7 +93,7 @@ def features(text: str, vocabulary: Vocabulary) -> np.ndarray:
     chars, syl = held[:, 0], held[:, 1]
 
     def spread(values: np.ndarray) -> list[float]:
-        return [values.mean(), values.std(), *np.percentile(values, QUANTILES)]
+        return [values.mean(), values.std(), *quantiles(values)]
 
     types, counts = np.unique(ids, return_counts=True)
     shares = held[:, 3:].mean(axis=0)
@@ -102,7 +113,7 @@ def features(text: str, vocabulary: Vocabulary) -> np.ndarray:
         np.log1p(n), np.log1p(m), *spread(lengths), *spread(chars), *spread(syl),
         (chars >= 7).mean(), (chars >= 11).mean(), held[:, 2].mean(), len(types) / np.sqrt(2 * n), (counts == 1).mean(),
         *shares, commas / m, semicolons / m, clean.count("?") / m, clean.count("!") / m,
-        shares[0] * n / m, shares[1] * n / m, shares[6] * n / m, clauses.mean(), np.percentile(clauses, 90),
+        shares[0] * n / m, shares[1] * n / m, shares[6] * n / m, clauses.mean(), quantiles(clauses, (90,))[0],
         shared.mean(), (shared > 0).mean(), starts.mean(), sum(map(str.isdigit, text)) / len(text), sum(map(str.isupper, text)) / letters,
         0.39 * n / m + 11.8 * syl.mean() - 15.59,
     ]
