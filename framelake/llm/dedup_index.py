@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from framelake.llm import nsw
 from framelake.llm.shingles import SKETCH_WORDS, VECTOR_DIMS, jaccard, shingle_sets, sketches
 from framelake.operators.lookup import is_small, lookup_join
-from framelake.storage import new_path, path_exists
+from framelake.storage import new_path, path_exists, write_table
 
 WIDTH = 3
 SIMILARITY = 0.6
@@ -188,17 +188,23 @@ def rerank(candidates: DataFrame, documents: DataFrame, width: int = WIDTH, simi
     return candidates.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a bigint, b bigint")
 
 
-def expand_pairs(new: DataFrame, everything: DataFrame) -> DataFrame:
+def expand_pairs(rows: DataFrame) -> DataFrame:
     """``entry_id_a, entry_id_b`` of rows that share ``key`` but not ``batch_no``, at least one of them new.
 
-    ``new`` has ``key, entry_id, batch_no``; ``everything`` also ``is_new`` and holds the new rows too. The
-    members of a large group are cut into blocks, and its new rows copied to each, so no task holds a group.
+    ``rows`` has ``key, entry_id, batch_no, is_new``. Only groups of several batches are kept, once, as a
+    table. The members of a large group are cut into blocks, and its new rows copied to each, so no task
+    holds a group.
     """
-    groups = everything.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi"))
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi"))
     wide = groups.where("lo < hi").select("key", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
-    held = everything.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("entry_id"), F.col("blocks")).cast("int"))
-    asked = new.join(wide, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    l, r = asked.alias("l"), held.alias("r")
+    held = write_table(rows.join(wide, "key"), "groups")
+    return _met(held.where("is_new"), held)
+
+
+def _met(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of rows of both sides that share ``key``; ``held`` is cut into its ``blocks``, ``asked`` copied to each."""
+    l = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
+    r = held.withColumn("block", F.pmod(F.xxhash64("entry_id"), F.col("blocks")).cast("int")).alias("r")
     once = (F.col("l.batch_no") != F.col("r.batch_no")) & (~F.col("r.is_new") | (F.col("l.entry_id") < F.col("r.entry_id")))
     met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block")) & once)
     return met.select(F.least("l.entry_id", "r.entry_id").alias("entry_id_a"), F.greatest("l.entry_id", "r.entry_id").alias("entry_id_b"))
@@ -262,21 +268,18 @@ class DedupIndex:
 
         similar = self.table("similar").select("a", "b").distinct()
         both = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        all_members = self.table("members").withColumn("is_new", F.col("wave") == wave).withColumnRenamed("rep", "key")
-        links = members.select(F.col("rep").alias("key"), "entry_id", "batch_no")
-        near = links.withColumnRenamed("key", "a").join(both, "a").select(F.col("b").alias("key"), "entry_id", "batch_no")
-        # Of a partner class the group may lie in one batch, so the test for two batches is left to the join.
-        found = expand_pairs(links, all_members).unionByName(self._across(near, all_members))
+        all_members = self.table("members").select(F.col("rep").alias("key"), "entry_id", "batch_no", (F.col("wave") == wave).alias("is_new"))
+        near = members.select(F.col("rep").alias("a"), "entry_id", "batch_no").join(both, "a").select(F.col("b").alias("key"), "entry_id", "batch_no")
         sums = self.table("entries").where("checksum is not null").select(F.col("checksum").alias("key"), "entry_id", "batch_no", (F.col("wave") == wave).alias("is_new"))
-        return found.unionByName(expand_pairs(sums.where("is_new").drop("is_new"), sums)).distinct()
+        # Equal texts and equal checksums are groups alike; a class has a key that no checksum has.
+        groups = all_members.withColumn("key", F.concat(F.lit("class "), "key")).unionByName(sums)
+        return expand_pairs(groups).unionByName(self._across(near, all_members)).distinct()
 
     def _across(self, asked: DataFrame, members: DataFrame) -> DataFrame:
-        sizes = members.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
-        held = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("entry_id"), F.col("blocks")).cast("int")).alias("r")
-        spread = asked.join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
-        once = (F.col("l.batch_no") != F.col("r.batch_no")) & (~F.col("r.is_new") | (F.col("l.entry_id") < F.col("r.entry_id")))
-        met = spread.join(held, (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block")) & once)
-        return met.select(F.least("l.entry_id", "r.entry_id").alias("entry_id_a"), F.greatest("l.entry_id", "r.entry_id").alias("entry_id_b"))
+        """Pairs between the new members of a class (``asked``, with the key of the partner) and a similar class."""
+        own = members.join(asked.select("key").distinct(), "key", "left_semi")
+        sizes = own.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"))
+        return _met(asked.join(sizes, "key"), own.join(sizes, "key"))
 
     def _search(self, classes: DataFrame, members: DataFrame, documents: DataFrame, wave: int, build_last: bool) -> None:
         spark = self.spark
