@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators.lookup import lookup_join
-from framelake.storage import new_path, path_exists
+from framelake.storage import new_path, path_exists, write_table
 
 #: A combination is hot, and broadcast in the join back, if it has more than one in so many rows.
 HOT_ONE_IN = 1000
@@ -236,6 +236,8 @@ def normalised_records(spark: SparkSession, scan_results: DataFrame, copy_snapsh
         written_instants(scan_results, scan_runs, "scan_result", "result_id", "date_time"),
         written_instants(copy_snapshots, scan_runs, "snapshot", "snapshot_id", "earliest_date"),
     ]
-    for i, part in enumerate(parts):
-        dictionary = extend_dictionary(spark, path, part, first + i)
-    return with_instants(parts[0].unionByName(parts[1]), dictionary).select("record_kind", "record_id", "utc_text")
+    # The rows are read for the dictionary, for the counts of hot texts and for the join: kept once.
+    rows = write_table(parts[0].unionByName(parts[1]), "written-instants")
+    for i, kind in enumerate(("scan_result", "snapshot")):
+        dictionary = extend_dictionary(spark, path, rows.where(F.col("record_kind") == kind), first + i)
+    return with_instants(rows, dictionary).select("record_kind", "record_id", "utc_text")
