@@ -50,21 +50,21 @@ def nearest_position(files: DataFrame, window_minutes: int | None, seconds: Colu
     if span <= 0:
         timed = timed.where(F.lit(False))
     have = timed.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("_us").agg(F.min(F.struct("file_id", "lat", "lon")).alias("_c"))
-    # Of a bucket only the candidate nearest to a row matters, so a row meets three sorted arrays' worth.
     near = have.select(F.col("_us").alias("_cus"), "_c", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(F.col("_us")) + d)).alias("_b"))
-    asking = timed.where("needs_position").select("file_id", "_us", bucket(F.col("_us")).alias("_b"))
-    # Both sides sorted on one timeline: the nearest before and after by window, per bucket.
-    events = asking.select("_b", "_us", F.lit(1).alias("_ask"), "file_id", F.lit(None).cast("struct<file_id:bigint,lat:double,lon:double>").alias("_c")).unionByName(
-        near.select("_b", F.col("_cus").alias("_us"), F.lit(0).alias("_ask"), F.lit(None).cast("bigint").alias("file_id"), "_c")
-    )
+    asking = timed.where("needs_position").select("file_id", "_us")
+    # Instants, not rows, are searched, so many files of one instant are one lookup; both sides lie on one
+    # timeline and the nearest before and after come by window, per bucket.
+    none = F.lit(None).cast("struct<file_id:bigint,lat:double,lon:double>")
+    instants = asking.select("_us").distinct().select(bucket(F.col("_us")).alias("_b"), "_us", F.lit(1).alias("_ask"), none.alias("_c"))
+    events = instants.unionByName(near.select("_b", F.col("_cus").alias("_us"), F.lit(0).alias("_ask"), "_c"))
     at = F.when(F.col("_c").isNotNull(), F.struct(F.col("_us").alias("us"), F.col("_c").alias("c")))
     before = F.last(at, ignorenulls=True).over(W.partitionBy("_b").orderBy("_us", "_ask").rowsBetween(W.unboundedPreceding, 0))
     after = F.last(at, ignorenulls=True).over(W.partitionBy("_b").orderBy(F.desc("_us"), "_ask").rowsBetween(W.unboundedPreceding, 0))
     found = events.withColumns({"_before": before, "_after": after}).where("_ask = 1")
     back, ahead = F.col("_us") - F.col("_before.us"), F.col("_after.us") - F.col("_us")
     later = F.col("_after").isNotNull() & (F.col("_before").isNull() | (ahead <= back))
-    picked = found.withColumns({"_p": F.when(later, F.col("_after")).otherwise(F.col("_before")), "gap_us": F.when(later, ahead).otherwise(back)})
-    return picked.where(F.col("gap_us") <= span).select("file_id", F.col("_p.c.file_id").alias("from_id"), F.col("_p.c.lat").alias("lat"), F.col("_p.c.lon").alias("lon"), "gap_us")
+    picked = found.select("_us", F.when(later, F.col("_after")).otherwise(F.col("_before")).alias("_p"), F.when(later, ahead).otherwise(back).alias("gap_us")).where(F.col("gap_us") <= span)
+    return asking.join(picked, "_us").select("file_id", F.col("_p.c.file_id").alias("from_id"), F.col("_p.c.lat").alias("lat"), F.col("_p.c.lon").alias("lon"), "gap_us")
 
 
 def related_files(files: DataFrame, mode: str = "strict") -> DataFrame:
@@ -129,7 +129,11 @@ def duplicate_of(files: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """``checksum, n, first_path, paths``: checksums of several files; paths sorted."""
-    key = F.lower(F.trim("checksum"))
-    grouped = files.where(key != "").groupBy(key.alias("checksum")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"), F.sort_array(F.collect_list("path")).alias("paths"))
-    return grouped.where("n > 1")
+    """``checksum, n, first_path, path``: one row for each file whose checksum several files have.
+
+    The groups' sizes and first paths are aggregated and joined back, so no group is gathered in one row,
+    however many copies it has.
+    """
+    keyed = files.select(F.lower(F.trim("checksum")).alias("checksum"), "path").where("checksum <> ''")
+    groups = keyed.groupBy("checksum").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path")).where("n > 1")
+    return keyed.join(groups, "checksum").select("checksum", "n", "first_path", "path")

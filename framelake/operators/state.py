@@ -26,16 +26,17 @@ def checkpoint_statistics(operations: DataFrame) -> DataFrame:
     )
 
 
-def plan_hash(plan: DataFrame, path: str = "path", size: str = "length", buckets: int = 4096) -> DataFrame:
+def plan_hash(plan: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
     """``hash, files``: a SHA-256 of the plan's paths (without case) and sizes, the same for any order.
 
-    Files are hashed by bucket of their path and the buckets' hashes together, so no task sorts the plan.
+    A file's hash is read as eight numbers, which are added up over all files; the sums are hashed. Adding
+    combines on the map side, so no task sorts or gathers the plan, and repeated rows count.
     """
-    line = F.sha2(F.concat_ws("\x00", F.length(path).cast("string"), F.lower(path), F.coalesce(F.col(size), F.lit(-1)).cast("string")), 256)
-    each = plan.select(F.pmod(F.xxhash64(F.lower(path)), F.lit(buckets)).alias("_b"), line.alias("_h"))
-    by = each.groupBy("_b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_h"), F.count(F.lit(1)).alias("_n"))
-    all_of = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda s: s["_h"]), ""), 256)
-    return by.agg(all_of.alias("hash"), F.coalesce(F.sum("_n"), F.lit(0)).alias("files"))
+    line = F.concat_ws("|", F.length(path).cast("string"), F.lower(path), F.coalesce(F.col(size), F.lit(-1)).cast("string"))
+    digest = F.sha2(line, 256)
+    numbers = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
+    sums = plan.agg(F.count(F.lit(1)).alias("files"), *[F.coalesce(F.sum(n), F.lit(0)).alias(f"_{i}") for i, n in enumerate(numbers)])
+    return sums.select(F.sha2(F.concat_ws("|", "files", *[f"_{i}" for i in range(8)]), 256).alias("hash"), "files")
 
 
 def latest_checkpoint(checkpoints: DataFrame, source: str, destination: str) -> DataFrame:

@@ -285,9 +285,10 @@ def unknown_files(spark: SparkSession, d: str) -> DataFrame:
 # --- duplicates, pairs, related -----------------------------------------------------------------------
 
 
-@query(f"""WITH {LIB} SELECT lower(trim(checksum)) AS checksum, count(*) AS n, min(path) AS first_path, array_to_string(list_sort(list(path)), '|') AS paths FROM lib WHERE trim(checksum) <> '' GROUP BY 1 HAVING count(*) > 1""")
+@query(f"""WITH {LIB}, k AS (SELECT lower(trim(checksum)) AS checksum, path FROM lib WHERE trim(checksum) <> '')
+SELECT checksum, count(*) OVER w AS n, min(path) OVER w AS first_path, path FROM k WINDOW w AS (PARTITION BY checksum) QUALIFY count(*) OVER w > 1""")
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return joins.duplicate_groups(_lib(spark, d, "path", "checksum")).withColumn("paths", F.array_join("paths", "|"))
+    return joins.duplicate_groups(_lib(spark, d, "path", "checksum"))
 
 
 @query(f"WITH {LIB} SELECT lower(trim(checksum)) AS checksum, min(path) AS first_path FROM lib WHERE trim(checksum) <> '' GROUP BY 1")
@@ -575,7 +576,11 @@ def latest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return state.latest_checkpoint(runs, "/vault/s0000003", "/library").select(F.col("session").alias("scan_id"), F.col("source").alias("source_root"))
 
 
-@query()
+_SUMS = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)), 0) AS BIGINT) AS s{i}" for i in range(8))
+
+
+@query(f"""WITH {LIB}, h AS (SELECT sha256(length(path) || '|' || lower(path) || '|' || coalesce(length, -1)) AS h FROM lib), s AS (SELECT count(*) AS files, {_SUMS} FROM h)
+SELECT sha256(concat_ws('|', files, s0, s1, s2, s3, s4, s5, s6, s7)) AS hash, files FROM s""")
 def plan_hash(spark: SparkSession, d: str) -> DataFrame:
     return state.plan_hash(_lib(spark, d, "path", "length"))
 
