@@ -86,7 +86,7 @@ def cut_items(sizes: DataFrame, containers: DataFrame, loss_share: float = LOSS_
     A text of at most the capacity is one piece. A longer one is cut into full pieces and a rest; a piece
     whose loss-bearing tokens would exceed their limit is cut at that limit instead.
     """
-    kinds = containers.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
+    kinds = containers.where("capacity_tokens > 0 and container_kind is not null").groupBy("container_kind").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
     if not is_small(kinds, MOST_KINDS):
         raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     listed = [F.struct(F.lit(r["container_kind"]).cast("string").alias("container_kind"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in kinds.collect()]
@@ -122,14 +122,18 @@ def pack_documents(
     Limits of a container: its capacity in tokens, one segment for ``tokens_per_segment`` tokens of the
     capacity, and ``loss_share`` of the capacity in loss-bearing tokens (those behind the first sentence). A
     whole text that exceeds a limit other than the capacity stands alone. Texts without tokens take no
-    room and are left out; so are kinds without a positive capacity; of a repeated kind the largest capacity
+    room and are left out; so are kinds without a name or a positive capacity; of a repeated kind the largest capacity
     counts. Rows with a null doc_id are packed like others. An empty table gives no rows.
     """
     sizes = write_table(with_token_counts(documents, prompt_of, vocabulary), "token-sizes")
-    groups = max(1, round(sizes.count() / group_items))
     items = cut_items(sizes, containers, loss_share)
-    # Pieces of one text may go to different groups, so that one huge text fills no group by itself.
-    items = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(groups)))
+    # As many groups as a kind's pieces need; there are at most MOST_KINDS kinds. Pieces of one text may go to
+    # different groups, so that one huge text fills no group by itself.
+    held = items.groupBy("container_kind").count().collect()
+    if not held:
+        return sizes.sparkSession.createDataFrame([], _PLACED)
+    groups = F.element_at(F.create_map(*[x for r in held for x in (F.lit(r["container_kind"]), F.lit(max(1, round(r["count"] / group_items))))]), F.col("container_kind"))
+    items = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "size"), groups))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)

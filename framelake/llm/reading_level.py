@@ -78,9 +78,10 @@ def _with_features(documents: DataFrame, keep: list[str]) -> DataFrame:
 def labelled_rows(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """``doc_id, source, grade, raters, x`` of at most ``most`` labelled documents, by a seeded order."""
     texts = readable(documents).select("doc_id", clean_source(F.col("source")).alias("source"), "text")
-    rated = texts.join(opinions(labels), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(most)
-    # A limit leaves one partition; the texts are spread again before they are worked on.
-    return _with_features(rated.repartition(TRAINING_TASKS, "doc_id"), ["doc_id", "source", "grade", "raters"])
+    # The choice is made on ids, so no task gathers texts; it has at most ``most`` rows and may be broadcast.
+    rated = texts.select("doc_id").join(opinions(labels), "doc_id").distinct()
+    picked = rated.orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(most)
+    return _with_features(texts.join(F.broadcast(picked), "doc_id").repartition(TRAINING_TASKS, "doc_id"), ["doc_id", "source", "grade", "raters"])
 
 
 def fold_of(sources: pd.Series, folds: int = FOLDS) -> np.ndarray:
