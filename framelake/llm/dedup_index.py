@@ -119,14 +119,19 @@ def _unpack(column: pd.Series, dtype, width: int) -> np.ndarray:
 
 
 def _probes(vectors: np.ndarray, bits: np.ndarray, seed: int = 5, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Artificial near copies of nodes: noise of the size that a similarity of 0.6 to 1 leaves."""
+    """Artificial near copies of nodes, as the texts of a similarity from SIMILARITY to 1 would have them.
+
+    Two sets of equal size and similarity s share c = 2s / (1 + s) of their members, so their votes on a random
+    direction have the correlation c: each probe's votes are drawn by it, at the length that votes have, and as
+    many bits of its sketch flip. Words that two texts share beyond their shingles only bring them nearer.
+    """
     rng = np.random.default_rng(seed)
     pick = rng.choice(len(vectors), size=min(most, len(vectors)), replace=False)
-    turn = rng.uniform(0.02, 0.2, size=(len(pick), 1))  # share of a half turn
-    noise = rng.standard_normal((len(pick), vectors.shape[1])).astype(np.float32)
-    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    moved = np.cos(turn * np.pi) * vectors[pick] + np.sin(turn * np.pi) * noise
-    flips = np.packbits(rng.random((len(pick), bits.shape[1] * 64)) < turn, axis=1).view(np.uint64)
+    similarity = rng.uniform(SIMILARITY, 1, size=(len(pick), 1))
+    shared = 2 * similarity / (1 + similarity)
+    votes = vectors[pick] * np.sqrt(rng.chisquare(vectors.shape[1], size=(len(pick), 1)))
+    moved = shared * votes + np.sqrt(1 - shared**2) * rng.standard_normal(votes.shape)
+    flips = np.packbits(rng.random((len(pick), bits.shape[1] * 64)) < np.arccos(shared) / np.pi, axis=1).view(np.uint64)
     return (moved / np.linalg.norm(moved, axis=1, keepdims=True)).astype(np.float32), bits[pick] ^ flips
 
 
@@ -137,7 +142,7 @@ def build_graphs(nodes: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
         vectors, bits = _unpack(pdf["vector"], np.float32, VECTOR_DIMS), _unpack(pdf["sketch"], np.uint64, SKETCH_WORDS)
         graph = nsw.Graph.build(vectors, bits)
-        recall = graph.tune(_probes(vectors, bits), RADIUS - 12)
+        recall = graph.tune(_probes(vectors, bits), RADIUS)
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "graph": [graph.to_bytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "nodes": [len(pdf)], "beam": [graph.beam], "recall": [recall]})
 
     return nodes.groupBy("shard").applyInPandas(build, "shard bigint, graph binary, reps binary, nodes bigint, beam int, recall double")

@@ -23,7 +23,9 @@ BUILD_BEAM = 24
 BLOCK = 512
 #: Sketches are compared only from this cosine of the short vectors on; near copies lie far above it.
 LEAST_COSINE = 0.35
-BEAMS = (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+BEAMS = (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048)
+#: A walk expands one node at once for each so many places of its beam, so that wide beams are sorted less often.
+PLACES = 64
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SHIFT = np.uint64(33)
@@ -149,34 +151,37 @@ class Graph:
             hit = hamming(sketches[asker], self.sketches[new]) <= radius
             met.append((asker[hit], new[hit]))
         live = np.arange(q)
-        degree = self.links.shape[1]
+        degree, at_once = self.links.shape[1], max(1, beam // PLACES)
         own, base = keys.copy(), live * (n + 1) + 1  # of the queries still going, in step with ``live``
         while len(live):
             fresh = (own & _ONE) == 0
-            slot = fresh.argmax(axis=1)
-            going = fresh[np.arange(len(live)), slot]
+            going = fresh.any(axis=1)
             if not going.all():
                 keys[live[~going]] = own[~going]
-                live, own, slot, base = live[going], own[going], slot[going], base[going]
+                live, own, fresh, base = live[going], own[going], fresh[going], base[going]
                 if not len(live):
                     break
-            turn = np.arange(len(live))
+            rank = np.cumsum(fresh, axis=1, dtype=np.int32)
+            turn, slot = np.nonzero(fresh & (rank <= at_once))
             node = _nodes(own[turn, slot])
             own[turn, slot] |= _ONE
             to = self.links[node]
-            spot = to + base[:, None]
+            spot = to + base[turn, None]
             fresh_link = np.flatnonzero(~seen[spot])
+            if at_once > 1:  # two nodes of one query may link to the same one
+                fresh_link = fresh_link[np.unique(spot.ravel()[fresh_link], return_index=True)[1]]
             seen[spot] = True
-            new, row = to.ravel()[fresh_link], fresh_link // degree
+            new, row = to.ravel()[fresh_link], turn[fresh_link // degree]
+            place = (rank[turn, slot][fresh_link // degree] - 1) * degree + fresh_link % degree
             asker = live[row]
             cosine = np.einsum("ij,ij->i", vectors[asker], self.vectors[new])
             if radius is not None:
                 close = np.flatnonzero(cosine >= LEAST_COSINE)
                 close = close[hamming(sketches[asker[close]], self.sketches[new[close]]) <= radius]
                 met.append((asker[close], new[close]))
-            added = np.full(to.size, _NONE)
-            added[fresh_link] = _keys(cosine, new)
-            own = np.sort(np.hstack([own, added.reshape(to.shape)]), axis=1)[:, :beam]
+            added = np.full((len(live), at_once * degree), _NONE)
+            added[row, place] = _keys(cosine, new)
+            own = np.sort(np.hstack([own, added]), axis=1)[:, :beam]
         if not met:
             return keys, (np.empty(0, np.int64), np.empty(0, np.int64))
         return keys, (np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]))

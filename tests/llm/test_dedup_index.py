@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import nsw
+from framelake.llm import dedup_index, nsw
 from framelake.llm.dedup_index import DedupIndex, complete_checksum, duplicate_pairs, expand_pairs, shard_schedule
 from framelake.llm.shingles import jaccard, shingle_sets, sketches, words
 from framelake.storage import new_path
@@ -160,3 +160,17 @@ def test_sketch_distance_follows_similarity():
 def test_expand_large_group(spark):
     rows = spark.range(3000).select(F.lit("k").alias("key"), F.col("id").alias("entry_id"), (F.col("id") % 2).alias("batch_no"), F.lit(True).alias("is_new"))
     assert expand_pairs(rows).distinct().count() == 1500 * 1500
+
+
+def test_probes_are_as_hard_as_pairs_at_the_limit():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**63, 200).astype(np.uint64) for _ in range(400)]
+    near = [np.concatenate([s[:154], rng.integers(0, 2**63, 46).astype(np.uint64)]) for s in sets]
+    assert 0.61 < jaccard(np.sort(sets[0]), np.sort(near[0])) < 0.64
+    none = [np.empty(0, np.uint64)] * 400
+    (v, b), (w, c) = sketches(sets, none), sketches(near, none)
+    probes, bits = dedup_index._probes(v, b, most=400)
+    pick = np.random.default_rng(5).choice(400, size=400, replace=False)
+    cosine, gap = (probes * v[pick]).sum(axis=1), nsw.hamming(bits, b[pick])
+    assert np.quantile(cosine, 0.05) < np.median((v * w).sum(axis=1)) and np.quantile(gap, 0.95) > np.median(nsw.hamming(b, c)) - 2
+
