@@ -216,7 +216,11 @@ def _met(asked: DataFrame, held: DataFrame) -> DataFrame:
 
 
 class DedupIndex:
-    """The growing index at ``path``. Batches must be ingested in the order of batch_no, any number at once."""
+    """The growing index at ``path``. Any number of batches may be ingested at once, and entries of a batch in several waves.
+
+    The ranks of the shard schedule are the batches of each wave, in the order of waves and then of batch_no: entries that
+    come late to a known batch, or batches below the highest, get ranks of their own and are searched against all earlier ones.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or new_path(spark, "dedup")
@@ -264,7 +268,7 @@ class DedupIndex:
         if wave > 1:
             grouped = grouped.join(self.table("classes").where(F.col("wave") < wave).select("class_key"), "class_key", "left_anti")
         self._append(grouped, "classes", wave)
-        classes = self.table("classes").drop("wave")
+        classes = self.table("classes")
 
         keyed = lookup_join(entries.where("doc_id is not null"), texts.select("doc_id", "class_key").groupBy("doc_id").agg(F.min("class_key").alias("class_key")), ["doc_id"], "inner")
         members = self._append(lookup_join(keyed, classes.select("class_key", "rep"), ["class_key"], "inner").select("rep", "batch_no", "entry_id"), "members", wave)
@@ -288,29 +292,28 @@ class DedupIndex:
 
     def _search(self, classes: DataFrame, members: DataFrame, documents: DataFrame, wave: int, build_last: bool) -> None:
         spark = self.spark
-        # One row for each batch; the schedule needs nothing else on the driver.
-        seen = self.table("entries").groupBy("batch_no").agg(F.min("wave").alias("wave")).orderBy("batch_no").collect()
-        counts = {r["first"]: r["n"] for r in classes.groupBy("first").agg(F.count(F.lit(1)).alias("n")).collect()}
-        asked = {r["batch_no"]: r["n"] for r in members.groupBy("batch_no").agg(F.countDistinct("rep").alias("n")).collect()}
-        batches = [r["batch_no"] for r in seen]
-        new_from = next((i for i, r in enumerate(seen) if r["wave"] == wave), len(seen))
-        shards = shard_schedule([counts.get(b, 0) for b in batches])
-        last = len(batches) - 1
-        searched = [s for s in shards if any(s.upto < q <= s.until for q in range(max(new_from, s.upto + 1), len(batches)))]
+        # One row for each batch of a wave; the schedule needs nothing else on the driver.
+        ranks = [(r["wave"], r["batch_no"]) for r in self.table("entries").select("wave", "batch_no").distinct().orderBy("wave", "batch_no").collect()]
+        counts = {(r["wave"], r["first"]): r["n"] for r in classes.groupBy("wave", "first").agg(F.count(F.lit(1)).alias("n")).collect()}
+        asked = {(wave, r["batch_no"]): r["n"] for r in members.groupBy("batch_no").agg(F.countDistinct("rep").alias("n")).collect()}
+        new_from = next((i for i, r in enumerate(ranks) if r[0] == wave), len(ranks))
+        shards = shard_schedule([counts.get(r, 0) for r in ranks])
+        last = len(ranks) - 1
+        searched = [s for s in shards if any(s.upto < q <= s.until for q in range(max(new_from, s.upto + 1), len(ranks)))]
         wanted = [s for s in shards if s.upto >= new_from and (s in searched or (build_last and s.until > last))]
 
-        rank_of = [(b, s.number, s.pieces) for s in wanted for b in batches[s.after + 1 : s.upto + 1]]
-        held = spark.createDataFrame(rank_of, "first bigint, number bigint, pieces int") if rank_of else None
+        rank_of = [(*r, s.number, s.pieces) for s in wanted for r in ranks[s.after + 1 : s.upto + 1]]
+        held = spark.createDataFrame(rank_of, "wave int, first bigint, number bigint, pieces int") if rank_of else None
         if held is not None:
-            nodes = classes.join(F.broadcast(held), "first")  # at most TIERS rows for each batch
+            nodes = classes.join(F.broadcast(held), ["wave", "first"])  # at most TIERS rows for each rank
             nodes = nodes.withColumn("shard", F.col("number") * _PIECES + F.pmod(F.xxhash64("rep"), F.col("pieces")))
             self._append(build_graphs(nodes.select("shard", "rep", "vector", "sketch")), "graphs", wave)
         graphs = self.table("graphs").drop("wave")
 
         plan = [
-            (b, s.number * _PIECES + piece, max(1, math.ceil(sum(asked.get(x, 0) for x in batches[s.upto + 1 :]) / QUERY_BLOCK)))
+            (b, s.number * _PIECES + piece, max(1, math.ceil(sum(asked.get(x, 0) for x in ranks[s.upto + 1 :]) / QUERY_BLOCK)))
             for s in searched
-            for q, b in enumerate(batches)
+            for q, (_, b) in enumerate(ranks)
             if q >= new_from and s.upto < q <= s.until
             for piece in range(s.pieces)
         ]

@@ -174,3 +174,11 @@ def test_probes_are_as_hard_as_pairs_at_the_limit():
     cosine, gap = (probes * v[pick]).sum(axis=1), nsw.hamming(bits, b[pick])
     assert np.quantile(cosine, 0.05) < np.median((v * w).sum(axis=1)) and np.quantile(gap, 0.95) > np.median(nsw.hamming(b, c)) - 2
 
+
+def test_late_entries_of_known_batches(spark):
+    text = [" ".join(f"{t}{i}" for i in range(60)) for t in "abc"]
+    docs = [(10 * t + k, f"{own} end{k}", "x") for t, own in enumerate(text) for k in range(3)]
+    waves = [[(1, 1, None, 0), (2, 3, None, 10)], [(3, 1, None, 11), (4, 2, None, 20)], [(5, 3, None, 21), (6, 4, None, 12)]]
+    index = DedupIndex(spark, new_path(spark, "test-late"))
+    got = [sorted(tuple(r) for r in index.ingest(*frames(spark, wave, docs)).collect()) for wave in waves]
+    assert got == [[], [(2, 3)], [(2, 6), (3, 6), (4, 5)]]
