@@ -14,11 +14,21 @@ PRECISION = 3
 TOLERANCE = 0.01
 
 
-def polygon_cells(boundaries: DataFrame, precision: int = PRECISION) -> DataFrame:
-    """Each polygon in every cell its bounding box touches: ``x, y, country, polygon_id, ring, holes, box``."""
+def polygon_cells(boundaries: DataFrame, precision: int = PRECISION, margin: float = 0.0) -> DataFrame:
+    """Each polygon in every cell its bounding box touches: ``x, y, country, polygon_id, ring, holes, box``.
+
+    With a ``margin`` the cells are those of the box and so many degrees around it; columns wrap.
+    """
     boxed = boundaries.where(F.size("ring") >= 3).withColumn("box", bounding_box(F.col("ring")))
-    xs = F.sequence(cell_x(F.col("box.min_lon"), precision), cell_x(F.col("box.max_lon"), precision))
-    ys = F.sequence(cell_y(F.col("box.min_lat"), precision), cell_y(F.col("box.max_lat"), precision))
+    more = margin + 1e-9 if margin else 0.0  # a rounded sum must not end before a cell's border
+    xs = F.sequence(cell_x(F.col("box.min_lon") - more, precision), cell_x(F.col("box.max_lon") + more, precision))
+    if margin:
+        none = F.array().cast("array<bigint>")
+        around = lambda low, high: F.sequence(cell_x(low, precision), cell_x(high, precision))
+        left = F.when(F.col("box.min_lon") - more <= -180, around(F.col("box.min_lon") - more + 360, F.lit(180.0)))
+        right = F.when(F.col("box.max_lon") + more >= 180, around(F.lit(-180.0), F.col("box.max_lon") + more - 360))
+        xs = F.array_distinct(F.concat(xs, F.coalesce(left, none), F.coalesce(right, none)))
+    ys = F.sequence(cell_y(F.col("box.min_lat") - more, precision), cell_y(F.col("box.max_lat") + more, precision))
     return boxed.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys)).select("x", "y", "country", "polygon_id", "ring", "holes", "box")
 
 
@@ -48,11 +58,13 @@ def country_lookup(points: DataFrame, boundaries: DataFrame, precision: int = PR
 
 
 def edge_points(points: DataFrame, boundaries: DataFrame, tolerance: float = 1e-4, precision: int = PRECISION) -> DataFrame:
-    """``lat, lon, polygon_id``: positions within ``tolerance`` degrees of a ring's edge."""
+    """``lat, lon, polygon_id``: positions within ``tolerance`` degrees of a ring's edge, also across the antimeridian."""
     at = points.where(has_coordinates(F.col("lat"), F.col("lon"))).select("lat", "lon").distinct()
     at = at.withColumns({"x": cell_x(F.col("lon"), precision), "y": cell_y(F.col("lat"), precision)})
-    met = at.join(polygon_cells(boundaries, precision), ["x", "y"])
-    return met.where(on_edge(F.col("lat"), F.col("lon"), F.col("ring"), tolerance)).select("lat", "lon", "polygon_id")
+    met = at.join(polygon_cells(boundaries, precision, tolerance), ["x", "y"])
+    lat, lon, ring = F.col("lat"), F.col("lon"), F.col("ring")
+    beyond = (F.col("box.max_lon") + tolerance >= 180) & on_edge(lat, lon + 360, ring, tolerance) | (F.col("box.min_lon") - tolerance <= -180) & on_edge(lat, lon - 360, ring, tolerance)
+    return met.where(on_edge(lat, lon, ring, tolerance) | beyond).select("lat", "lon", "polygon_id")
 
 
 def cell_countries(boundaries: DataFrame, precision: int = PRECISION) -> DataFrame:

@@ -120,6 +120,16 @@ def test_regions(spark):
     assert regions.simplified(b).count() == 3
 
 
+def test_edge_points_beyond_the_box(spark):
+    cell = 180 / 128  # a side of the cells that edge_points joins on
+    square = lambda y, x: [(y, x), (y, x + cell), (y + cell, x + cell), (y + cell, x)]
+    b = spark.createDataFrame([("XA", 1, square(0.0, 0.0), []), ("XB", 2, square(20.0, -180.0), []), ("XC", 3, square(40.0, 180 - cell), [])], "country string, polygon_id int, ring array<struct<lat:double,lon:double>>, holes array<array<struct<lat:double,lon:double>>>")
+    near = [(1, -0.03, 1.0), (1, 1.0, -0.03), (1, 1.0, cell + 0.03), (1, cell + 0.03, 1.0), (2, 20.5, 179.98), (2, 20.5, 180.0), (3, 40.5, -179.98)]
+    far = [(-0.06, 1.0), (1.0, -0.06), (20.5, 179.9), (40.5, -179.9), (0.7, 0.7)]
+    points = spark.createDataFrame([(la, lo) for _, la, lo in near] + far, "lat double, lon double")
+    assert sorted((r.polygon_id, r.lat, r.lon) for r in regions.edge_points(points, b, 0.05).collect()) == sorted(near)
+
+
 def test_state(spark):
     ops = spark.createDataFrame([(0, "Completed", 5, T), (1, "Failed", 7, T), (2, "CopyDonePendingDelete", 9, T + timedelta(1)), (3, "Skipped", 1, None)], "file_index int, result string, file_size bigint, ts timestamp")
     plan = spark.createDataFrame([(i,) for i in range(5)], "file_index int")
