@@ -6,7 +6,7 @@
    bounding box) is replicated to every leaf it touches; a polygon takes along only the edges that matter
    there, or a mark that the whole leaf lies inside it.
 3. In each partition an R-tree is bulk-loaded from the boxes and probed with all points at once; candidates
-   are refined by the exact distance or the even-odd rule.
+   are refined by the exact distance or the even-odd rule of the ring and of each hole.
 4. A pair is reported only where its reference point (the lower corner of the two boxes' intersection) lies
    in the leaf, so replication yields no pair twice.
 """
@@ -25,6 +25,7 @@ from framelake.operators.quadtree import QuadTree
 from framelake.operators.rtree import RTree
 
 EARTH_KM = 6371.0
+KM_PER_DEGREE = math.radians(1) * EARTH_KM
 #: Rows of one partition (leaf and salt) the quadtree aims at.
 LEAF_ROWS = 25_000
 #: Most sampled rows of each side that reach the driver to fit the quadtree.
@@ -33,6 +34,10 @@ SAMPLE_ROWS = 100_000
 MAX_LEAVES = 20_000
 #: Point-edge tests done at once in the refinement, which bounds its memory.
 EDGE_TESTS = 2_000_000
+#: Pairs one partition may be expected to return; with more its leaf gets more salts.
+PART_PAIRS = 4_000_000
+#: Leaves of one polygon that are written in one batch.
+REGION_ROWS = 256
 
 DOMAIN = (-180.0, -90.0, 180.0, 90.0)  # x is lon, y is lat
 
@@ -81,23 +86,31 @@ def ring_edges(ring: np.ndarray) -> np.ndarray:
     return np.hstack([points[:-1], points[1:]])
 
 
-def odd_crossings(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Even-odd rule: whether the ray eastward from each point crosses an odd number of edges."""
+def contains(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Whether points lie in a polygon of edges (x1, y1, x2, y2, part), sorted by part: 0 is the ring, others are holes.
+
+    A point is inside where a ray eastward crosses an odd number of the ring's edges and of no hole an odd number:
+    holes may overlap each other or stick out of the ring.
+    """
     inside = np.zeros(len(x), dtype=bool)
-    if not len(edges):
+    if not len(edges) or edges[0, 4] != 0:
         return inside
     step = max(1, EDGE_TESTS // len(edges))
-    x1, y1, x2, y2 = edges.T
+    x1, y1, x2, y2, part = edges.T
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     with np.errstate(divide="ignore", invalid="ignore"):
         slope = np.where(y1 != y2, (x2 - x1) / (y2 - y1), 0.0)
     for at in range(0, len(x), step):
         px, py = x[at : at + step, None], y[at : at + step, None]
         crosses = ((y1 > py) != (y2 > py)) & (px < x1 + slope * (py - y1))
-        inside[at : at + step] = crosses.sum(axis=1) % 2 == 1
+        odd = np.add.reduceat(crosses, starts, axis=1, dtype=np.int32) % 2 == 1
+        inside[at : at + step] = odd[:, 0] & ~odd[:, 1:].any(axis=1)
     return inside
 
 
-def _edges_of(ring, holes) -> np.ndarray:
+def polygon_edges(ring, holes) -> np.ndarray:
+    """Edges (x1, y1, x2, y2, part) of a ring and its holes, each a list of ``{lat, lon}``; none without a ring."""
+
     def as_array(points) -> np.ndarray:
         rows = [(p["lat"], p["lon"]) for p in (points if points is not None else []) if p is not None and p["lat"] is not None and p["lon"] is not None]
         return np.array(rows, dtype=float).reshape(-1, 2)
@@ -105,18 +118,18 @@ def _edges_of(ring, holes) -> np.ndarray:
     parts = [ring_edges(as_array(ring))]
     if len(parts[0]):
         parts += [ring_edges(as_array(h)) for h in (holes if holes is not None else []) if h is not None]
-    return np.vstack(parts)
+    return np.hstack([np.vstack(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])[:, None]])
 
 
 def _crosses_box(edges: np.ndarray, box: np.ndarray) -> np.ndarray:
     """Edges that may touch a closed box: their boxes meet it and its corners aren't all on one side."""
-    x1, y1, x2, y2 = edges.T
+    x1, y1, x2, y2 = edges[:, :4].T
     meets = (np.minimum(x1, x2) <= box[2]) & (np.maximum(x1, x2) >= box[0]) & (np.minimum(y1, y2) <= box[3]) & (np.maximum(y1, y2) >= box[1])
     side = [(x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1) for cx in (box[0], box[2]) for cy in (box[1], box[3])]
     return meets & ~(np.all([s > 0 for s in side], axis=0) | np.all([s < 0 for s in side], axis=0))
 
 
-def _fit(points: DataFrame, places: DataFrame, leaf_rows: int, sample_rows: int) -> tuple[QuadTree, np.ndarray, np.ndarray]:
+def _fit(points: DataFrame, places: DataFrame, leaf_rows: int, sample_rows: int, radius_km: float) -> tuple[QuadTree, np.ndarray, np.ndarray]:
     """The quadtree and, of each leaf, the salts of its points and of its places."""
     sides = []
     for side in (points, places):
@@ -132,8 +145,18 @@ def _fit(points: DataFrame, places: DataFrame, leaf_rows: int, sample_rows: int)
     salts = []
     for _, share, s in sides:
         held = np.bincount(tree.locate(s[:, 1].copy(), s[:, 0].copy()), minlength=len(tree.leaf_boxes)) / share
-        salts.append(np.maximum(1, np.ceil(held / (2 * goal))).astype(np.int64))
-    return tree, salts[0], salts[1]
+        salts.append((held, np.maximum(1, np.ceil(held / (2 * goal))).astype(np.int64)))
+    (n_points, of_points), (n_places, of_places) = salts
+    # Of a leaf not much larger than the radius (many rows at one spot) nearly all pairs match: the larger sides are cut
+    # further, so that a partition returns a bounded number of them.
+    b = tree.leaf_boxes
+    height, width = (b[:, 3] - b[:, 1]) * KM_PER_DEGREE, (b[:, 2] - b[:, 0]) * KM_PER_DEGREE * np.cos(np.radians((b[:, 1] + b[:, 3]) / 2))
+    pairs = n_points * n_places * np.minimum(1.0, math.pi * radius_km**2 / np.maximum(height * width, 1e-12))
+    while (over := pairs > PART_PAIRS * of_points * of_places).any():
+        more_points = n_points / of_points >= n_places / of_places
+        of_points[over & more_points] *= 2
+        of_places[over & ~more_points] *= 2
+    return tree, of_points, of_places
 
 
 def spatial_matches(
@@ -155,7 +178,7 @@ def spatial_matches(
     keep = F.col("id").isNotNull() & usable(F.col("lat"), F.col("lon"))
     points = points.select("id", "lat", "lon").where(keep)
     places = places.select("id", "lat", "lon").where(keep).distinct()
-    tree, point_salts, place_salts = _fit(points, places, leaf_rows, sample_rows)
+    tree, point_salts, place_salts = _fit(points, places, leaf_rows, sample_rows, radius_km)
     held = spark.sparkContext.broadcast((tree, point_salts, place_salts))  # at most MAX_LEAVES leaves
 
     # part = (leaf, salt of points, salt of places): a point goes to one salt of points and all of places,
@@ -204,25 +227,33 @@ def spatial_matches(
         tree, point_salts, _ = held.value
         for batch in batches:
             for polygon_id, ring, holes in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                edges = _edges_of(ring, holes)
+                edges = polygon_edges(ring, holes)
                 if not len(edges):
                     continue
-                box = np.array([edges[:, [0, 2]].min(), edges[:, [1, 3]].min(), edges[:, [0, 2]].max(), edges[:, [1, 3]].max()])
+                own_ring = edges[edges[:, 4] == 0]
+                box = np.array([own_ring[:, [0, 2]].min(), own_ring[:, [1, 3]].min(), own_ring[:, [0, 2]].max(), own_ring[:, [1, 3]].max()])
                 out = []
+
+                def batch_of(rows):
+                    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), item_schema, strict=True)], schema=item_schema)
+
                 for leaf in tree.overlapping(box[None])[1]:
                     own = tree.leaf_boxes[leaf]
                     if _crosses_box(edges, own).any():
                         low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
                         matter = edges[(low <= own[3]) & (high >= own[1]) & (np.maximum(edges[:, 0], edges[:, 2]) >= own[0])]
                         whole, packed = False, np.ascontiguousarray(matter).tobytes()
-                    elif odd_crossings(np.array([(own[0] + own[2]) / 2]), np.array([(own[1] + own[3]) / 2]), edges)[0]:
+                    elif contains(np.array([(own[0] + own[2]) / 2]), np.array([(own[1] + own[3]) / 2]), edges)[0]:
                         whole, packed = True, None
                     else:
                         continue
                     clipped = [max(box[0], own[0]), max(box[1], own[1]), min(box[2], own[2]), min(box[3], own[3])]
                     out += [(int(parts(leaf, s, 0)), "inside", int(polygon_id), *clipped, None, None, whole, packed) for s in range(point_salts[leaf])]
+                    if len(out) >= REGION_ROWS:
+                        yield batch_of(out)
+                        out = []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), item_schema, strict=True)], schema=item_schema)
+                    yield batch_of(out)
 
     def match(points: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"id": pd.Series(dtype="int64"), "match_kind": pd.Series(dtype="object"), "match_id": pd.Series(dtype="int64")})
@@ -248,7 +279,7 @@ def spatial_matches(
             good[~n] = whole[item[~n]]
             for region in np.unique(item[~n & ~good]):
                 mine = np.flatnonzero(item == region)
-                good[mine] = odd_crossings(x[point[mine]], y[point[mine]], np.frombuffer(packed[region]).reshape(-1, 4))
+                good[mine] = contains(x[point[mine]], y[point[mine]], np.frombuffer(packed[region]).reshape(-1, 5))
             found.append(pd.DataFrame({"id": ids[point[good]], "match_kind": np.where(near[item[good]], "near", "inside"), "match_id": match_ids[item[good]]}))
         # A disk over the date line has two boxes that may share a leaf.
         return pd.concat(found).drop_duplicates() if found else none

@@ -3,7 +3,7 @@ import pytest
 
 from framelake.operators.quadtree import QuadTree
 from framelake.operators.rtree import RTree
-from framelake.operators.spatial_join import _edges_of, disk_boxes, haversine_km, odd_crossings, spatial_matches
+from framelake.operators.spatial_join import contains, disk_boxes, haversine_km, polygon_edges, spatial_matches
 
 POINT = "id bigint, lat double, lon double, part bigint, match_id string"
 POLYGON = "polygon_id int, ring array<struct<lat:double,lon:double>>, holes array<array<struct<lat:double,lon:double>>>, country string"
@@ -17,14 +17,19 @@ def points(spark, rows):
     return spark.createDataFrame([(*r, 1, "clash") for r in rows], POINT)
 
 
+def odd(x, y, ring):
+    """The even-odd rule, edge by edge."""
+    edges = zip(ring, ring[1:] + ring[:1], strict=True) if len(ring) > 2 else []
+    return sum((a[0] > y) != (b[0] > y) and x < a[1] + (b[1] - a[1]) * (y - a[0]) / (b[0] - a[0]) for a, b in edges) % 2 == 1
+
+
 def brute(pts, places, polygons, radius):
     out = set()
     ok = lambda r: None not in r and abs(r[1]) <= 90 and abs(r[2]) <= 180 and (r[1] or r[2])
     for p in filter(ok, set(pts)):
         out |= {(p[0], "near", q[0]) for q in filter(ok, places) if haversine_km(p[1], p[2], q[1], q[2]) <= radius}
         for pid, ring, holes, _ in polygons:
-            e = _edges_of([{"lat": a, "lon": b} for a, b in ring], [[{"lat": a, "lon": b} for a, b in h] for h in holes or [] if h])
-            if odd_crossings(np.array([p[2]]), np.array([p[1]]), e)[0]:
+            if odd(p[2], p[1], ring) and not any(odd(p[2], p[1], h) for h in holes or [] if h):
                 out.add((p[0], "inside", pid))
     return out
 
@@ -49,6 +54,34 @@ def test_against_brute_force(spark, leaf_rows):
     assert set(rows) == brute([p for p in pts if p[0] is not None], places, polygons, 30.0)
 
 
+@pytest.mark.parametrize("leaf_rows", [4, 40, 100_000])
+def test_holes_beyond_the_ring_and_over_each_other(spark, leaf_rows):
+    rng = np.random.default_rng(9)
+    polygons = [
+        (1, square(0.0, 0.0, 8.0), [square(6.0, 6.0, 4.0), square(-2.0, 3.0, 3.0)], "A"),  # holes that stick out of the ring
+        (2, square(0.0, 0.0, 8.0), [square(2.0, 2.0, 3.0), square(3.0, 3.0, 3.0), square(3.5, 3.5, 0.5)], "B"),  # holes over each other
+        (3, square(-4.0, -4.0, 16.0), [square(0.0, 0.0, 4.0), square(0.0, 4.0, 4.0)], "C"),  # holes that share a border, which is also one of leaves
+        (4, square(0.0, 0.0, 2.0), [square(20.0, 20.0, 3.0)], "D"),  # a hole elsewhere
+        (5, square(1.0, 1.0, 2.0), [square(0.0, 0.0, 9.0)], "E"),  # a hole around the ring
+    ]
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-5, 13, (400, 2)))]
+    pts += [(900, 9.0, 9.0), (901, 3.7, 3.7), (902, 3.2, 3.2), (903, -1.0, 4.0), (904, 21.0, 21.0), (905, 2.0, 2.5)]
+    got = spatial_matches(points(spark, pts), points(spark, []), spark.createDataFrame(polygons, POLYGON), 1.0, leaf_rows=leaf_rows)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(pts, [], polygons, 1.0)
+
+
+def test_many_points_and_places_on_one_spot(spark, monkeypatch):
+    monkeypatch.setattr("framelake.operators.spatial_join.PART_PAIRS", 500)
+    pts, places = [(i, 5.0, 5.0) for i in range(150)], [(i, 5.0, 5.001) for i in range(40)]
+    rows = [tuple(r) for r in spatial_matches(points(spark, pts), points(spark, places), spark.createDataFrame([], POLYGON), 1.0).collect()]
+    assert len(rows) == len(set(rows)) == 150 * 40
+
+
+def test_contains_without_ring():
+    assert not contains(np.array([1.0]), np.array([1.0]), polygon_edges(None, [[{"lat": 0.0, "lon": 0.0}]])).any()
+
+
 def test_empty_tables(spark):
     none, polygons = points(spark, []), spark.createDataFrame([], POLYGON)
     some = points(spark, [(1, 10.0, 10.0)])
