@@ -1,12 +1,15 @@
-"""A navigable small-world graph over document vectors, built and searched in vectorised blocks.
-
-A node has a short unit vector, in which the graph is navigated (in few dimensions a greedy walk has a
-slope to follow; in many, everything that is no near copy is about equally far), and a binary sketch of
-many more bits, which tells near copies from the rest. Nodes are inserted in a seeded random order: a
-block is searched against the graph so far with a beam, each new node gets links to its nearest nodes
-(earlier ones and those of its own block) in both directions, of which a node keeps the nearest, and a few
-random links, which make the graph navigable from anywhere. The first inserted nodes are the pivots every
-search starts from.
+"""A small-world graph over document sketches, built and searched in vectorised blocks.
+
+Two layers. The upper one holds the pivots, a seeded random sample of about PIVOTS * sqrt(n) nodes; a node hangs
+on its HOMES nearest pivots, by short vectors of votes, and the nodes of a pivot lie side by side in memory (its
+cell). The lower layer links each node with its nearest nodes, by sketches of many bits, and with a few random
+ones, which make the graph navigable from anywhere.
+
+A search compares the query with all pivots in one matrix product, opens the cells of the nearest ``beam`` ones, and
+walks on from the nearest nodes met there over the links of the lower layer until no nearer node turns up. Everything
+met whose sketch differs in at most ``radius`` bits is a candidate. Cells are opened for many queries at once, so
+that most comparisons run over contiguous memory. The beam is widened until a search finds what an exhaustive
+one finds.
 """
 
 from __future__ import annotations
@@ -16,21 +19,20 @@ from dataclasses import dataclass
 
 import numpy as np
 
-NEAR_OUT = 8
-NEAR = 14  # near links kept of a node
+NEAR = 8  # near links of a node
 RANDOM = 2  # random links of a node
-BUILD_BEAM = 24
-BLOCK = 512
-#: Sketches are compared only from this cosine of the short vectors on; near copies lie far above it.
-LEAST_COSINE = 0.35
-BEAMS = (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048)
-#: A walk expands one node at once for each so many places of its beam, so that wide beams are sorted less often.
-PLACES = 64
-
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_SHIFT = np.uint64(33)
-_ONE = np.uint64(1)
-_LOW = np.uint64(0xFFFFFFFF)
+PIVOTS = 8
+LEAST_PIVOTS = 64
+HOMES = 2
+#: Cells of so many times the mean size have the ties of their nodes drawn by lot.
+CROWD = 16
+BLOCK = 2048
+#: Nodes from which a walk goes on at the same time.
+WALK = 4
+#: Comparisons done at once, which bounds the memory of a search.
+AT_ONCE = 4_000_000
+#: Beams tried by tuning grow by these steps to the number of pivots.
+FIRST_BEAM, GROWTH = 4, 1.5
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -38,198 +40,210 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint16)
 
 
-def _keys(cosine: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Sortable keys: distance << 33 | node << 1 | expanded."""
-    gap = ((1 - cosine) * 8192).clip(0, 32767).astype(np.uint64)
-    return (gap << _SHIFT) | (nodes.astype(np.uint64) << _ONE)
+def hamming_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(len(a), len(b)) differing bits of each sketch of ``a`` with each of ``b``, word by word."""
+    total = np.zeros((len(a), len(b)), dtype=np.uint16)
+    for word in range(a.shape[1]):
+        total += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
+    return total
 
 
-def _nodes(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> _ONE) & _LOW).astype(np.int64)
+def pivot_count(n: int) -> int:
+    return min(n, max(LEAST_PIVOTS, int(PIVOTS * np.sqrt(n))))
 
 
-def pivot_count(n: int) -> int:
-    return min(n, max(32, int(4 * np.sqrt(n))))
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` greatest scores of each row, in no order."""
+    return np.argpartition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k :] if k < scores.shape[1] else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
 
 
 @dataclass
 class Graph:
-    vectors: np.ndarray  # (n, dims) float32, unit length
+    vectors: np.ndarray  # (pivots, dims) float32, unit length
     sketches: np.ndarray  # (n, words) uint64
     links: np.ndarray  # (n, NEAR + RANDOM) int32, -1 where none
-    pivots: np.ndarray
-    beam: int = BEAMS[0]
+    starts: np.ndarray  # (pivots + 1,) where the cells begin in ``members``
+    members: np.ndarray  # nodes by cell
+    beam: int = FIRST_BEAM
+
+    def __post_init__(self) -> None:
+        self.cells = np.ascontiguousarray(self.sketches[self.members])
 
     @staticmethod
     def build(vectors: np.ndarray, sketches: np.ndarray, seed: int = 7) -> Graph:
+        """The graph of unit ``vectors`` (n, dims) and ``sketches`` (n, words)."""
         n = len(vectors)
         rng = np.random.default_rng(seed)
-        order = rng.permutation(n)
-        g = Graph(vectors, sketches, np.full((n, NEAR + RANDOM), -1, np.int32), order[:1])
-        gaps = np.full((n, NEAR), _NONE)
-        done = 0
-        while done < n:
-            block = order[done : done + min(BLOCK, max(64, done))]
-            own = vectors[block]
-            cosine = own @ own.T
-            np.fill_diagonal(cosine, -3)
-            k = min(NEAR_OUT, len(block))
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            keys = _keys(np.take_along_axis(cosine, near, 1), block[near])
-            keys[np.take_along_axis(cosine, near, 1) < -2] = _NONE
-            if done:
-                g.pivots = order[: pivot_count(done)]
-                keys = np.hstack([keys, g._beam_search(own, sketches[block], BUILD_BEAM, None)[0] & ~_ONE])
-            keys = np.sort(keys, axis=1)[:, :NEAR_OUT]
-            source, key = np.repeat(block, keys.shape[1]), keys.ravel()
-            source, key = source[key != _NONE], key[key != _NONE]
-            target = _nodes(key)
-            back = (key >> _SHIFT << _SHIFT) | (source.astype(np.uint64) << _ONE)
-            g._link(np.concatenate([source, target]), np.concatenate([key, back]), gaps)
-            if done:
-                g.links[block, NEAR:] = order[rng.integers(0, done, size=(len(block), RANDOM))]
-            done += len(block)
-        g.pivots = order[: pivot_count(n)]
-        g._reach_all()
+        pivots = np.sort(rng.permutation(n)[: pivot_count(n)])
+        homes = min(HOMES, len(pivots))
+        home = np.concatenate([_best(vectors[at : at + BLOCK] @ vectors[pivots].T, homes) for at in range(0, n, BLOCK)])
+        # Of many equal vectors, equally near to many pivots, all would hang on the same ones: their ties are drawn by lot.
+        crowd = np.flatnonzero((np.bincount(home.ravel(), minlength=len(pivots)) * len(pivots) > CROWD * homes * n)[home].any(axis=1))
+        for at in range(0, len(crowd), BLOCK):
+            own = crowd[at : at + BLOCK]
+            home[own] = _best(vectors[own] @ vectors[pivots].T + rng.random((len(own), len(pivots)), dtype=np.float32) * 1e-4, homes)
+        home = home.ravel()
+        order = np.argsort(home, kind="stable")
+        starts = np.searchsorted(home[order], np.arange(len(pivots) + 1))
+        g = Graph(vectors[pivots], sketches, np.full((n, NEAR + RANDOM), -1, np.int32), starts, (order // homes).astype(np.int32))
+        g._link_cells()
+        g.links[:, NEAR:] = rng.integers(0, n, size=(n, RANDOM))
         return g
 
-    def _reach_all(self, rounds: int = 40) -> None:
-        """Make every node reachable: nodes that no walk from the pivots meets become pivots, if need be one for each island.
-
-        A node whose links back were all displaced by nearer ones could otherwise be found by no beam.
-        """
-        n = len(self.vectors)
-        reached = np.zeros(n + 1, dtype=bool)  # the last one stands for a missing link (-1)
-        reached[n] = True
-        new = self.pivots
-        for turn in range(rounds + 1):
-            while len(new):
-                reached[new] = True
-                met = np.unique(self.links[new])
-                new = met[~reached[met]]
-            left = np.flatnonzero(~reached[:n])
-            if not len(left):
-                break
-            linked = np.zeros(n + 1, dtype=bool)
-            linked[self.links[left].ravel()] = True
-            new = np.union1d(left[~linked[left]], left[:1]) if turn < rounds else left
-            self.pivots = np.concatenate([self.pivots, new])
-
-    def _link(self, source: np.ndarray, key: np.ndarray, held: np.ndarray) -> None:
-        """Merge new links into their sources' near lists, nearest first, none twice."""
-        nodes = np.unique(source)
-        rows = np.concatenate([np.searchsorted(nodes, source), np.repeat(np.arange(len(nodes)), NEAR)])
-        key = np.concatenate([key, held[nodes].ravel()])
-        keep = key != _NONE
-        rows, key = rows[keep], key[keep]
-        by = np.lexsort((key, rows))
-        rows, key = rows[by], key[by]
-        fresh = np.ones(len(rows), dtype=bool)
-        fresh[1:] = (rows[1:] != rows[:-1]) | (key[1:] != key[:-1])
-        rows, key = rows[fresh], key[fresh]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(nodes)))[rows]
+    def _link_cells(self) -> None:
+        """Link each node with the nearest ones of its cells."""
+        own, other, gap = [], [], []
+        step = int(np.sqrt(AT_ONCE))
+        for cell in range(len(self.starts) - 1):
+            lo, hi = self.starts[cell], self.starts[cell + 1]
+            for at in range(lo, hi, step):
+                stop = min(hi, at + step)
+                best_other, best_gap = np.empty((stop - at, 0), np.int32), np.empty((stop - at, 0), np.uint16)
+                for to in range(lo, hi, step):  # the nearest of the cell, block by block
+                    end = min(hi, to + step)
+                    d = hamming_table(self.cells[at:stop], self.cells[to:end])
+                    both = np.hstack([best_gap, d])
+                    nodes = np.hstack([best_other, np.broadcast_to(self.members[to:end], d.shape)])
+                    k = min(NEAR + 1, both.shape[1])
+                    near = np.argpartition(both, k - 1, axis=1)[:, :k]
+                    best_gap, best_other = np.take_along_axis(both, near, 1), np.take_along_axis(nodes, near, 1)
+                own.append(np.repeat(self.members[at:stop], best_gap.shape[1]))
+                other.append(best_other.ravel())
+                gap.append(best_gap.ravel())
+        own, other, gap = np.concatenate(own), np.concatenate(other), np.concatenate(gap)
+        keep = own != other
+        own, other, gap = own[keep], other[keep], gap[keep]
+        by = np.lexsort((other, gap, own))
+        own, other = own[by], other[by]
+        fresh = np.ones(len(own), dtype=bool)  # a pair of nodes that share both cells was met twice, side by side
+        fresh[1:] = (own[1:] != own[:-1]) | (other[1:] != other[:-1])
+        own, other = own[fresh], other[fresh]
+        rank = np.arange(len(own)) - np.searchsorted(own, np.arange(len(self.sketches)))[own]
         keep = rank < NEAR
-        rows, key, rank = rows[keep], key[keep], rank[keep]
-        held[nodes], self.links[nodes, :NEAR] = _NONE, -1
-        held[nodes[rows], rank] = key
-        self.links[nodes[rows], rank] = _nodes(key)
-
-    def _beam_search(self, vectors: np.ndarray, sketches: np.ndarray, beam: int, radius: int | None):
-        """Beam keys of each query, and the (query, node) pairs met whose sketches differ in at most ``radius`` bits."""
-        q, n = len(vectors), len(self.vectors)
-        # Flat, as one index is cheaper than two; column 0 stands for a missing link, column i + 1 for node i.
-        seen = np.zeros(q * (n + 1), dtype=bool)
-        seen.reshape(q, n + 1)[:, self.pivots + 1] = True
-        seen[:: n + 1] = True
-        keys = np.full((q, beam), _NONE)
-        start = _keys(vectors @ self.vectors[self.pivots].T, np.broadcast_to(self.pivots, (q, len(self.pivots))))
-        width = min(beam, start.shape[1])
-        keys[:, :width] = np.sort(np.partition(start, width - 1, axis=1)[:, :width], axis=1)
-        met = []
-        if radius is not None:
-            asker, new = np.repeat(np.arange(q), width), _nodes(keys[:, :width]).ravel()
-            hit = hamming(sketches[asker], self.sketches[new]) <= radius
-            met.append((asker[hit], new[hit]))
-        live = np.arange(q)
-        degree, at_once = self.links.shape[1], max(1, beam // PLACES)
-        own, base = keys.copy(), live * (n + 1) + 1  # of the queries still going, in step with ``live``
+        self.links[own[keep], rank[keep]] = other[keep]
+
+    def _open_cells(self, sketches: np.ndarray, pivots: np.ndarray, radius: int):
+        """(query, node) met within ``radius``, and of each query the WALK nearest nodes of the cells opened."""
+        q, width = pivots.shape
+        asker = np.repeat(np.arange(q), width)
+        by = np.argsort(pivots.ravel(), kind="stable")
+        asker, bounds = asker[by], np.searchsorted(pivots.ravel()[by], np.arange(len(self.starts)))
+        met_query, met_node = [], []
+        nearest = np.full(q * width, np.iinfo(np.int64).max)  # of each opened cell: gap << 32 | node
+        for cell in np.flatnonzero(bounds[1:] > bounds[:-1]):
+            lo, hi = self.starts[cell], self.starts[cell + 1]
+            if lo == hi:
+                continue
+            step = max(1, AT_ONCE // (hi - lo))
+            for at in range(bounds[cell], bounds[cell + 1], step):
+                who = asker[at : min(at + step, bounds[cell + 1])]
+                d = hamming_table(sketches[who], self.cells[lo:hi])
+                row, column = np.nonzero(d <= radius)
+                if len(row):
+                    met_query.append(who[row])
+                    met_node.append(self.members[lo + column])
+                best = d.argmin(axis=1)
+                nearest[at : at + len(who)] = (d[np.arange(len(who)), best].astype(np.int64) << 32) | self.members[lo + best]
+        table = np.empty(q * width, np.int64)
+        table[by] = nearest
+        table = np.sort(table.reshape(q, width), axis=1)
+        return met_query, met_node, table
+
+    def _walk(self, sketches: np.ndarray, table: np.ndarray, radius: int):
+        """Candidates met by walking from the nearest nodes over links, as long as a nearer node turns up."""
+        met_query, met_node = [], []
+        none = np.iinfo(np.int64).max
+        beam = np.full((len(sketches), WALK), none)
+        for slot in range(WALK):  # the nearest different nodes of the cells
+            column = np.argmax(table > (beam[:, slot - 1, None] if slot else -1), axis=1)
+            value = table[np.arange(len(table)), column]
+            beam[:, slot] = np.where(value > (beam[:, slot - 1] if slot else -1), value, none)
+        live = np.arange(len(sketches))
+        new = beam.copy()
         while len(live):
-            fresh = (own & _ONE) == 0
-            going = fresh.any(axis=1)
-            if not going.all():
-                keys[live[~going]] = own[~going]
-                live, own, fresh, base = live[going], own[going], fresh[going], base[going]
-                if not len(live):
-                    break
-            rank = np.cumsum(fresh, axis=1, dtype=np.int32)
-            turn, slot = np.nonzero(fresh & (rank <= at_once))
-            node = _nodes(own[turn, slot])
-            own[turn, slot] |= _ONE
-            to = self.links[node]
-            spot = to + base[turn, None]
-            fresh_link = np.flatnonzero(~seen[spot])
-            if at_once > 1:  # two nodes of one query may link to the same one
-                fresh_link = fresh_link[np.unique(spot.ravel()[fresh_link], return_index=True)[1]]
-            seen[spot] = True
-            new, row = to.ravel()[fresh_link], turn[fresh_link // degree]
-            place = (rank[turn, slot][fresh_link // degree] - 1) * degree + fresh_link % degree
-            asker = live[row]
-            cosine = np.einsum("ij,ij->i", vectors[asker], self.vectors[new])
-            if radius is not None:
-                close = np.flatnonzero(cosine >= LEAST_COSINE)
-                close = close[hamming(sketches[asker[close]], self.sketches[new[close]]) <= radius]
-                met.append((asker[close], new[close]))
-            added = np.full((len(live), at_once * degree), _NONE)
-            added[row, place] = _keys(cosine, new)
-            own = np.sort(np.hstack([own, added]), axis=1)[:, :beam]
-        if not met:
-            return keys, (np.empty(0, np.int64), np.empty(0, np.int64))
-        return keys, (np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]))
+            row, slot = np.nonzero(new != none)
+            to = self.links[new[row, slot] & 0xFFFFFFFF]
+            asker, node = np.repeat(live[row], to.shape[1]), to.ravel()
+            asker, node = asker[node >= 0], node[node >= 0]
+            gap = hamming(sketches[asker], self.sketches[node])
+            hit = gap <= radius
+            met_query.append(asker[hit])
+            met_node.append(node[hit])
+            key = (gap.astype(np.int64) << 32) | node
+            closer = key < beam[asker, -1]
+            asker, key = asker[closer], key[closer]
+            if not len(asker):
+                break
+            by = np.lexsort((key, asker))
+            asker, key = asker[by], key[by]
+            fresh = np.ones(len(asker), dtype=bool)
+            fresh[1:] = (asker[1:] != asker[:-1]) | (key[1:] != key[:-1])
+            asker, key = asker[fresh], key[fresh]
+            live, first = np.unique(asker, return_index=True)
+            rank = np.arange(len(asker)) - np.repeat(first, np.diff([*first, len(asker)]))
+            keep = rank < WALK
+            added = np.full((len(live), WALK), none)
+            added[np.searchsorted(live, asker[keep]), rank[keep]] = key[keep]
+            known = (added[:, :, None] == beam[live][:, None, :]).any(axis=2)
+            added[known] = none
+            merged = np.sort(np.hstack([beam[live], added]), axis=1)[:, :WALK]
+            beam[live] = merged
+            added[added > merged[:, -1:]] = none  # only what entered the beam goes on
+            going = (added != none).any(axis=1)
+            live, new = live[going], added[going]
+        return met_query, met_node
 
     def search(self, vectors: np.ndarray, sketches: np.ndarray, radius: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs whose sketches differ in at most ``radius`` bits, none twice.
+        """(query, node) pairs met whose sketches differ in at most ``radius`` bits, none twice.
 
-        A query that met so many such nodes that half its beam may consist of them is searched again with a
-        beam of twice the width, until that no longer holds or the beam is the whole graph: no number of
-        partners is too large.
+        A query that met more such nodes than half the nodes of its cells may be in the middle of a crowd; it is
+        searched again with twice the beam until that no longer holds or all cells are open: no number of partners
+        is too large.
         """
-        beam = min(beam or self.beam, len(self.vectors))
-        asked, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        n, pivots = len(self.sketches), len(self.starts) - 1
+        beam = min(beam or self.beam, pivots)
+        sizes = np.diff(self.starts)
+        asked, found, opened = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at in range(0, len(vectors), BLOCK):
-            a, b = self._beam_search(vectors[at : at + BLOCK], sketches[at : at + BLOCK], beam, radius)[1]
-            asked.append(a + at)
-            found.append(b)
-        pairs = np.unique(np.concatenate(asked) * len(self.vectors) + np.concatenate(found))
-        a, b = pairs // len(self.vectors), pairs % len(self.vectors)
-        crowded = np.flatnonzero(np.bincount(a, minlength=len(vectors)) * 2 > beam)
-        if len(crowded) and beam < len(self.vectors):
+            own = sketches[at : at + BLOCK]
+            near = _best(vectors[at : at + BLOCK] @ self.vectors.T, beam)
+            query, node, table = self._open_cells(own, near, radius)
+            walked_query, walked_node = self._walk(own, table, radius)
+            asked += [q + at for q in query + walked_query]
+            found += node + walked_node
+            opened.append(sizes[near].sum(axis=1))
+        pairs = np.unique(np.concatenate(asked) * n + np.concatenate(found))
+        a, b = pairs // n, pairs % n
+        crowded = np.flatnonzero(np.bincount(a, minlength=len(vectors)) * 2 * HOMES > np.concatenate(opened))
+        if len(crowded) and beam < pivots:
             more_a, more_b = self.search(vectors[crowded], sketches[crowded], radius, beam * 2)
-            a, b = np.concatenate([a, crowded[more_a]]), np.concatenate([b, more_b])
-            pairs = np.unique(a * len(self.vectors) + b)
-            a, b = pairs // len(self.vectors), pairs % len(self.vectors)
+            pairs = np.union1d(pairs, crowded[more_a] * n + more_b)
+            a, b = pairs // n, pairs % n
         return a, b
 
     def tune(self, probes: tuple[np.ndarray, np.ndarray], radius: int, goal: float = 0.99) -> float:
         """Widen ``beam`` until searches find ``goal`` of what exhaustive search finds within ``radius``.
 
-        Where no listed beam is wide enough, the beam is the whole graph. Returns the recall reached.
+        Where no narrower beam does, all cells are opened. Returns the recall reached.
         """
         vectors, sketches = probes
-        truth = {(i, int(j)) for i, own in enumerate(sketches) for j in np.flatnonzero(hamming(own[None], self.sketches) <= radius)}
-        for beam in [*(b for b in BEAMS if b < len(self.vectors)), len(self.vectors)]:
-            self.beam = beam
-            got = set(zip(*(x.tolist() for x in self.search(vectors, sketches, radius)), strict=True))
-            recall = len(truth & got) / len(truth) if truth else 1.0
-            if recall >= goal:
-                break
-        return recall
+        query, node = np.nonzero(hamming_table(sketches, self.sketches) <= radius)
+        truth = query * len(self.sketches) + node
+        pivots, recall, beam = len(self.starts) - 1, 1.0, FIRST_BEAM
+        while True:
+            self.beam = min(int(beam), pivots)
+            got = self.search(vectors, sketches, radius)
+            recall = np.isin(truth, got[0] * len(self.sketches) + got[1]).mean() if len(truth) else 1.0
+            if recall >= goal or self.beam == pivots:
+                return float(recall)
+            beam *= GROWTH
 
     def to_bytes(self) -> bytes:
         held = io.BytesIO()
-        np.savez(held, vectors=self.vectors, sketches=self.sketches, links=self.links, pivots=self.pivots, beam=self.beam)
+        np.savez(held, vectors=self.vectors, sketches=self.sketches, links=self.links, starts=self.starts, members=self.members, beam=self.beam)
         return held.getvalue()
 
     @staticmethod
     def from_bytes(data: bytes) -> Graph:
         with np.load(io.BytesIO(data)) as z:
-            return Graph(z["vectors"], z["sketches"], z["links"], z["pivots"], int(z["beam"]))
+            return Graph(z["vectors"], z["sketches"], z["links"], z["starts"], z["members"], int(z["beam"]))

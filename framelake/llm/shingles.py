@@ -9,7 +9,7 @@ import xxhash
 
 SKETCH_WORDS = 4  # 64-bit words of a sketch
 SKETCH_BITS = 64 * SKETCH_WORDS
-VECTOR_DIMS = 12
+VECTOR_DIMS = 48
 
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)

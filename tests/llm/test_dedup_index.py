@@ -86,6 +86,62 @@ def test_waves_give_what_one_wave_gives(spark):
     assert index.ingest(p.where("batch_no = 7"), d).count() == 0  # known entries are ignored
 
 
+def test_a_shard_cut_by_centres(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(900)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=60)), "x") for i in range(600)]
+    docs += [(1000 + i, " ".join(rng.choice(vocabulary) if rng.random() < 0.05 else w for w in docs[i][1].split()), "x") for i in range(200)]
+    docs += [(2000 + i, " ".join(f"c{j}" for j in range(50)) + f" end{i} and{i}", "x") for i in range(300)]  # a crowd about one centre
+    docs += [(2900, " ".join(f"c{j}" for j in range(50)) + " other end", "x")]
+    files = [(i, 1 if d < 1000 or 2000 <= d < 2900 else 2, None, d) for i, (d, _, _) in enumerate(docs)]
+    p, d = frames(spark, files, docs)
+    index = DedupIndex(spark, new_path(spark, "test-centres"), shard_nodes=60)
+    got = {tuple(r) for r in index.ingest(p, d).collect()}
+    want = brute(files, docs)
+    assert len(want) > 400 and got <= want and len(got) >= 0.98 * len(want)
+    centres = index.table("centres").where("vector is not null")
+    first = centres.where("number = 0").agg(F.count("*").alias("n"), F.max("entered").alias("entered"), F.max("salts").alias("salts")).first()
+    assert first.n == 30 and first.entered < first.n and first.salts > 1
+    assert index.table("graphs").agg(F.max("nodes")).first()[0] < 120
+
+
+def test_a_batch_reads_only_its_own_part(spark, monkeypatch):
+    docs = corpus(300, 4)
+    files = [(i, 1 + (i >= 260) + (i >= 290), f"{i % 280:064x}", i) for i in range(300)]
+    p, d = frames(spark, files, docs)
+    index = DedupIndex(spark, new_path(spark, "test-part"))
+    index.ingest(p.where("batch_no = 1"), d).count()
+    held = []
+    real = dedup_index.write_table
+    monkeypatch.setattr(dedup_index, "write_table", lambda df, label: held.append(real(df, label)) or held[-1])
+    found = {tuple(r) for r in index.ingest(p.where("batch_no = 2"), d).collect()}
+    found |= {tuple(r) for r in index.ingest(p.where("batch_no = 3"), d).collect()}
+    assert index.table("texts").groupBy("wave").count().orderBy("wave").collect() == [(1, 260), (2, 30), (3, 10)]  # texts shingled
+    keys = [{r.key for r in h.select("key").distinct().collect()} for h in held]
+    new = [{f"sum {i % 280:064x}" for i in span} for span in (range(260, 290), range(290, 300))]
+    assert all({k for k in own if k.startswith("sum")} <= asked for own, asked in zip(keys, new))
+    want = {x for x in brute(files, docs) if x[1] >= 260}
+    assert found <= want and len(found) >= 0.98 * len(want)
+
+
+def test_replaced_shards_are_deleted(spark):
+    docs = corpus(90, 6)
+    p, d = frames(spark, [(i, 1 + i // 15, None, i) for i in range(90)], docs)
+    index = DedupIndex(spark, new_path(spark, "test-shards"))
+    for span in ("<= 4", "= 5", "= 6"):
+        index.ingest(p.where(f"batch_no {span}"), d)
+    # The initial stock, ranks 1-4 compacted, and rank 5.
+    assert sorted(r.number for r in index.table("graphs").select("number").distinct().collect()) == [0, 4 * 3 + 2, 5 * 3 + 1]
+
+
+def test_classes_instead_of_pairs(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    docs = [(1, text, "x"), (2, text.upper(), "x"), (3, text + " end", "x"), (4, "quite another text", "x"), (5, "two words", "x")]
+    p, d = frames(spark, [(10, 1, None, 1), (11, 2, None, 2), (12, 3, None, 3), (13, 3, None, 4), (14, 3, None, 5), (15, 3, None, None)], docs)
+    got = sorted(tuple(r) for r in dedup_index.duplicate_classes(spark, p, d).collect())
+    assert got == [(10, 1, 1, 2, 1), (11, 2, 1, 2, 1), (12, 3, 3, 1, 1), (13, 3, 4, 1, 0)]
+
+
 def test_empty_tables(spark):
     p, d = frames(spark, [], [])
     assert duplicate_pairs(spark, p, d).count() == 0
@@ -96,6 +152,7 @@ def test_empty_tables(spark):
 def test_checksum_writings(spark):
     good = "0123456789abcdef" * 4
     spelt = [good, good.upper(), f" {good} ", "sha256:" + good, "SHA-256=" + good.upper(), "0x" + good, "-".join(good[i : i + 2] for i in range(0, 64, 2)), " ".join(good[i : i + 8] for i in range(0, 64, 8))]
+    spelt += ["hash:" + good, "checksum = " + good.upper(), "SHA-256: 0x" + good, "sha256/" + good, "sum: hash: " + "/".join(good[i : i + 4] for i in range(0, 64, 4)), ",".join(good), "sha_256 " + good]
     rows = spark.createDataFrame([(s,) for s in [*spelt, good[:32], good + "0", "g" * 64, "", None]], "c string").select(complete_checksum(F.col("c")).alias("k"))
     assert [r.k for r in rows.collect()] == [good] * len(spelt) + [None] * 5
 
@@ -109,7 +166,7 @@ def test_schedule_covers_history_once():
             assert seen == list(range(q)), (fan, tiers, q)
         if tiers > 1:
             assert max(sum(s.upto < q <= s.until for s in shards) for q in range(1, len(nodes))) < len(nodes) - 1
-    assert shard_schedule([], 4, 3) == [] and shards[0].pieces == 4
+    assert shard_schedule([], 4, 3) == [] and shards[0].centres == 8
 
 
 @pytest.mark.parametrize("n", [1, 2, 65, 1500])
@@ -121,7 +178,7 @@ def test_graph_recall_against_exhaustive_search(n):
 
     def views(x):
         v = x @ plane
-        short = v[:, :12] / np.linalg.norm(v[:, :12], axis=1, keepdims=True)
+        short = v[:, :48] / np.linalg.norm(v[:, :48], axis=1, keepdims=True)
         return short.astype(np.float32), np.packbits(v > 0, axis=1).view(np.uint64)
 
     graph = nsw.Graph.build(*views(base))
@@ -130,6 +187,7 @@ def test_graph_recall_against_exhaustive_search(n):
     truth = {(i, int(j)) for i in range(200) for j in np.flatnonzero(nsw.hamming(queries[1][i][None], graph.sketches) <= 60)}
     got = set(zip(*(x.tolist() for x in graph.search(*queries, 60))))
     assert got <= truth and len(got) >= 0.98 * len(truth)
+    assert graph.beam <= len(graph.starts) - 1 and sorted(np.unique(graph.members).tolist()) == list(range(n))
     again = nsw.Graph.from_bytes(graph.to_bytes())
     assert set(zip(*(x.tolist() for x in again.search(*queries, 60)))) == got
 
@@ -169,8 +227,7 @@ def test_probes_are_as_hard_as_pairs_at_the_limit():
     assert 0.61 < jaccard(np.sort(sets[0]), np.sort(near[0])) < 0.64
     none = [np.empty(0, np.uint64)] * 400
     (v, b), (w, c) = sketches(sets, none), sketches(near, none)
-    probes, bits = dedup_index._probes(v, b, most=400)
-    pick = np.random.default_rng(5).choice(400, size=400, replace=False)
+    probes, bits, pick = dedup_index._probes(v, b, most=400)
     cosine, gap = (probes * v[pick]).sum(axis=1), nsw.hamming(bits, b[pick])
     assert np.quantile(cosine, 0.05) < np.median((v * w).sum(axis=1)) and np.quantile(gap, 0.95) > np.median(nsw.hamming(b, c)) - 2
 
