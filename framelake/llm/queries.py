@@ -12,6 +12,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup_index.duplicate_pairs(spark, table(spark, d, "processed_files"), table(spark, d, "documents"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return dedup_index.duplicate_classes(spark, table(spark, d, "processed_files"), table(spark, d, "documents"))
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "containers"))
 
@@ -42,11 +46,12 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return reading_level.validation_report(spark, *reading_level.train(documents, table(spark, d, "reading_labels")))
+    return reading_level.validation_report(spark, reading_level.cross_validated(reading_level.labelled_rows(documents, table(spark, d, "reading_labels"))))
 
 
 QUERIES = {
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p6_packing": p6_packing,
     "p6_report": p6_report,
     "p7_mixture": p7_mixture,

@@ -1,8 +1,10 @@
-"""Distributions of length, vocabulary, syntax and cohesion of a whole text."""
+"""Distributions of length, vocabulary, syntax and cohesion of whole texts, of many texts at once."""
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -17,23 +19,24 @@ CONJUNCTIONS = "and or but nor so yet".split()
 ABSTRACT_ENDINGS = ("tion", "sion", "ment", "ness", "ity", "ance", "ence", "ism", "ship", "logy", "graphy", "ture", "acy")
 
 _CLASSES = [frozenset(c) for c in (SUBORDINATORS, PREPOSITIONS, CONNECTIVES, PRONOUNS, AUXILIARIES, ARTICLES, CONJUNCTIONS)]
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_END = re.compile(r"(?:(?<=[.!?])|(?<=[.!?][\"'”’)\]]))\s+(?=[\"'“‘(\[]?[^\W\d_a-z]|[*\-•]\s|\d+[.)]\s)|\n\s*\n|\n(?=\s*(?:[*\-•]|\d+[.)])\s)")
-_FILE = re.compile(r"(?<!\S)\S*[/\\]\S*|\b\w+\.(?:jpe?g|png|heic|mov|mp4|nef|xmp|json|txt|tsv|tiff?)\b", re.I)
+#: Columns of a word's properties.
+CHARS, SYLLABLES, POLY, CLASS = 0, 1, 2, 3
+SUBORDINATOR, PREPOSITION, CONNECTIVE, AUXILIARY, CONJUNCTION = CLASS, CLASS + 1, CLASS + 2, CLASS + 4, CLASS + 6
+PAST = CLASS + len(_CLASSES) + 2
+
+_MARK = "\x1e"  # stands for the end of a sentence
+_PUNCTUATION = ",;:.!?()"
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[" + _MARK + _PUNCTUATION + "]")
+_END = re.compile(r"([.!?][\"'”’)\]]?)\s+(?=[\"'“‘(\[]?[^\W\d_a-z]|[*\-•]\s|\d+[.)]\s)")
+_BREAK = re.compile(r"\n\s*\n|\n(?=\s*(?:[*\-•]|\d+[.)])\s)")
+_PATH = re.compile(r"(?<!\S)\S*[/\\]\S*")
+_FILE = re.compile(r"\b\w+\.(?:jpe?g|png|heic|mov|mp4|nef|xmp|json|txt|tsv|tiff?)\b", re.I)
+_FILE_END = re.compile(r"\.(?:jpe?g|png|heic|mov|mp4|nef|xmp|json|txt|tsv|tiff?)\b", re.I)
 _VOWELS = re.compile(r"[aeiouyäöüáéíóúàèùâêîôû]+")
 
 QUANTILES = (10, 50, 90)
-
-
-def quantiles(values: np.ndarray, at: tuple[int, ...] = QUANTILES) -> list[float]:
-    """Linearly interpolated percentiles of a non-empty array."""
-    ordered = np.sort(values)
-    out = []
-    for q in at:
-        place = q / 100 * (len(ordered) - 1)
-        low = int(place)
-        out.append(float(ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (place - low)))
-    return out
+#: Characters of the texts worked on at once.
+CHUNK = 1_000_000
 
 
 def syllables(word: str) -> int:
@@ -43,28 +46,30 @@ def syllables(word: str) -> int:
     return max(1, groups)
 
 
-class Vocabulary:
-    """Properties of the words seen so far in this process, as growing arrays."""
+class Vocabulary(dict):
+    """Numbers of the words met so far in this process, and their properties as a growing array.
 
-    COLUMNS = 3 + len(_CLASSES) + 3
+    The first numbers are the mark and the punctuation.
+    """
+
+    COLUMNS = PAST + 1
 
     def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
+        super().__init__({c: i for i, c in enumerate(_MARK + _PUNCTUATION)})
+        self.first_word = len(self)
         self.held = np.zeros((4096, self.COLUMNS), dtype=np.float32)
 
-    def lookup(self, words: list[str]) -> np.ndarray:
-        ids = self.ids
-        for w in words:
-            if w not in ids:
-                ids[w] = len(ids)
-                if len(ids) > len(self.held):
-                    self.held = np.vstack([self.held, np.zeros_like(self.held)])
-                s = syllables(w)
-                self.held[ids[w]] = [len(w), s, s >= 3, *[w in c for c in _CLASSES], len(w) > 6 and w.endswith(ABSTRACT_ENDINGS), len(w) > 4 and w.endswith("ly"), len(w) > 3 and w.endswith("ed")]
-        return np.array([ids[w] for w in words], dtype=np.int64)
+    def __missing__(self, w: str) -> int:
+        self[w] = at = len(self)
+        if at >= len(self.held):
+            self.held = np.vstack([self.held, np.zeros_like(self.held)])
+        s = syllables(w)
+        self.held[at] = [len(w), s, s >= 3, *[w in c for c in _CLASSES], len(w) > 6 and w.endswith(ABSTRACT_ENDINGS), len(w) > 4 and w.endswith("ly"), len(w) > 3 and w.endswith("ed")]
+        return at
 
     def trim(self, most: int = 300_000) -> None:
-        if len(self.ids) > most:
+        if len(self) > most:
+            self.clear()
             self.__init__()
 
 
@@ -74,58 +79,154 @@ NAMES = [
     *[f"syllables_{q}" for q in ("mean", "std", *QUANTILES)], "long_words", "very_long_words", "polysyllables", "root_types", "once_only",
     "subordinators", "prepositions", "connectives", "pronouns", "auxiliaries", "articles", "conjunctions", "abstract", "adverbs", "past",
     "commas", "semicolons", "questions", "exclamations", "subordinators_per_sentence", "prepositions_per_sentence", "conjunctions_per_sentence",
-    "clause_words_mean", "clause_words_90", "overlap_mean", "overlap_share", "start_connectives", "digits", "capitals", "flesch_kincaid",
+    "clause_words_mean", "clause_words_90", "clauses_per_sentence_mean", "clauses_per_sentence_90", "subordinated_sentences", "prepositions_in_sentence_90",
+    "words_before_auxiliary", "passives", "overlap_mean", "overlap_share", "start_connectives", "digits", "capitals", "flesch_kincaid",
 ]
 
 
-def features(text: str, vocabulary: Vocabulary) -> np.ndarray:
-    """The values of NAMES; zeros for a text without words."""
-    out = np.zeros(len(NAMES), dtype=np.float32)
-    clean = _FILE.sub(" ", text)
-    sentences = [found for s in _END.split(clean) if (found := _WORD.findall(s.lower()))]
-    if not sentences:
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each character code up to 0xFFFF: 1 letter, 2 digit, 4 capital."""
+    return np.array([c.isalpha() + 2 * c.isdigit() + 4 * c.isupper() for c in map(chr, range(0x10000))], dtype=np.uint8)
+
+
+def _character_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, digits and capitals of each text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kinds = _kinds()[np.minimum(codes, 0xFFFF)]
+    for at in np.flatnonzero(codes > 0xFFFF):
+        c = chr(codes[at])
+        kinds[at] = c.isalpha() + 2 * c.isdigit() + 4 * c.isupper()
+    ends = np.cumsum([len(t) for t in texts])
+
+    def per_text(flag: int) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(kinds & flag > 0)])
+        return np.diff(upto[np.concatenate([[0], ends])])
+
+    return per_text(1), per_text(2), per_text(4)
+
+
+def _tokens(text: str) -> list[str]:
+    if "/" in text or "\\" in text:
+        text = _PATH.sub(" ", text)
+    if _FILE_END.search(text):
+        text = _FILE.sub(" ", text)
+    text = _END.sub(r"\1" + _MARK, text)
+    if "\n" in text:
+        text = _BREAK.sub(_MARK, text)
+    return _TOKEN.findall(text.lower())
+
+
+class _Groups:
+    """Statistics of values by group; the groups' numbers ascend along the values, and each has one at least."""
+
+    def __init__(self, group: np.ndarray, groups: int) -> None:
+        self.group, self.count = group, np.bincount(group, minlength=groups)
+        self.starts = np.cumsum(self.count) - self.count
+
+    def sum(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.group, values, len(self.count))
+
+    def mean(self, values: np.ndarray) -> np.ndarray:
+        return self.sum(values) / np.maximum(1, self.count)
+
+    def quantiles(self, values: np.ndarray, at: tuple[int, ...] = QUANTILES) -> list[np.ndarray]:
+        """Linearly interpolated percentiles of whole, non-negative values."""
+        ordered = np.sort((self.group.astype(np.int64) << 32) | values.astype(np.int64)) & 0xFFFFFFFF
+        out = []
+        for q in at:
+            place = q / 100 * (self.count - 1)
+            low = place.astype(np.int64)
+            a, b = ordered[self.starts + low], ordered[self.starts + np.minimum(low + 1, self.count - 1)]
+            out.append(a + (b - a) * (place - low))
         return out
-    lengths = np.array([len(s) for s in sentences], dtype=float)
-    words = [w for s in sentences for w in s]
-    ids = vocabulary.lookup(words)
-    held = vocabulary.held[ids]
-    n, m = len(words), len(sentences)
-    chars, syl = held[:, 0], held[:, 1]
-
-    def spread(values: np.ndarray) -> list[float]:
-        return [values.mean(), values.std(), *quantiles(values)]
-
-    types, counts = np.unique(ids, return_counts=True)
-    shares = held[:, 3:].mean(axis=0)
-    commas, semicolons = clean.count(","), clean.count(";") + clean.count(":")
-    clauses = np.array([len(c) for s in re.split(r"[,;:.!?()]+", clean) if (c := _WORD.findall(s))] or [0], dtype=float)
+
+    def spread(self, values: np.ndarray) -> list[np.ndarray]:
+        values = values.astype(np.float64)
+        mean = self.mean(values)
+        return [mean, np.sqrt(np.maximum(0, self.mean(values**2) - mean**2)), *self.quantiles(values)]
+
+
+def _renumber(ascending: np.ndarray) -> np.ndarray:
+    """Ascending group numbers without gaps, from 0."""
+    return np.cumsum(np.concatenate([[False], ascending[1:] != ascending[:-1]]))
+
+
+def _chunk_features(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
+    out = np.zeros((len(texts), len(NAMES)), dtype=np.float32)
+    found = [_tokens(t) for t in texts]
+    sizes = np.array([len(f) for f in found])
+    token = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(sizes.sum()))
+    of_text = np.repeat(np.arange(len(texts)), sizes)
+    is_word = token >= vocabulary.first_word
+    filled = np.bincount(of_text[is_word], minlength=len(texts)) > 0
+    if not filled.any():
+        return out
+    keep = filled[of_text]
+    token, of_text, is_word = token[keep], _renumber(of_text[keep]), is_word[keep]
+    total = int(of_text[-1]) + 1
+    new_text = np.concatenate([[True], of_text[1:] != of_text[:-1]])
+    word, text = token[is_word], of_text[is_word]
+    sentence = _renumber(np.cumsum((token == 0) | new_text)[is_word])
+    clause = _renumber(np.cumsum(((token > 0) & ~is_word) | new_text)[is_word])
+    held = vocabulary.held[word]
+    chars, syl = held[:, CHARS], held[:, SYLLABLES]
+
+    words = _Groups(text, total)
+    in_sentence = _Groups(sentence, int(sentence[-1]) + 1)
+    text_of_sentence = text[in_sentence.starts]
+    sentences = _Groups(text_of_sentence, total)
+    in_clause = _Groups(clause, int(clause[-1]) + 1)
+    clauses = _Groups(text[in_clause.starts], total)
+    n, m = words.count, sentences.count
+    marks = np.stack([np.bincount(of_text[token == k], minlength=total) for k in range(len(_PUNCTUATION) + 1)])
+
+    types, counts = np.unique((text << 32) | word, return_counts=True)
+    kinds = _Groups(types >> 32, total)
+    shares = [words.mean(held[:, c]) for c in range(CLASS, PAST + 1)]
+    pieces = np.unique((sentence << 32) | clause) >> 32  # one for each part of a clause in a sentence
+    per_sentence = np.bincount(pieces, minlength=len(text_of_sentence))
+    prepositions = in_sentence.sum(held[:, PREPOSITION])
+    place = np.arange(len(word)) - in_sentence.starts[sentence]
+    auxiliary = held[:, AUXILIARY] > 0
+    before = in_sentence.count.copy()
+    np.minimum.at(before, sentence[auxiliary], place[auxiliary])
+    passive = np.zeros(len(word), dtype=bool)
+    passive[1:] = auxiliary[:-1] & (held[1:, PAST] > 0) & (sentence[1:] == sentence[:-1])
+
     heavy = chars > 3
-    of_sentence = np.repeat(np.arange(m), lengths.astype(int))
-    pairs = np.unique(of_sentence[heavy] * (1 << 32) + ids[heavy])
-    sentence_of, word_of = pairs >> 32, pairs & 0xFFFFFFFF
-    shared = np.zeros(max(1, m - 1))
-    if m > 1 and len(pairs):
-        both = np.isin(pairs + (1 << 32), pairs)
-        shared = np.bincount(sentence_of[both], minlength=m)[: m - 1] / np.maximum(1, np.bincount(sentence_of, minlength=m)[: m - 1])
-    starts = vocabulary.held[ids[np.concatenate([[0], np.cumsum(lengths[:-1]).astype(int)])], 5]
-    letters = sum(map(str.isalpha, text)) or 1
+    pairs = np.unique((sentence[heavy] << 32) | word[heavy])
+    following = np.append(text_of_sentence[1:] == text_of_sentence[:-1], False)
+    distinct = np.bincount(pairs >> 32, minlength=len(text_of_sentence))
+    beyond = pairs + (1 << 32)
+    again = np.append(pairs, -1)[np.searchsorted(pairs, beyond)] == beyond
+    shared = np.bincount((pairs >> 32)[again], minlength=len(text_of_sentence)) * following / np.maximum(1, distinct)
+    gaps = np.maximum(1, m - 1)
+
+    letters, digits, capitals = (c[filled] for c in _character_counts(texts))
+    length = np.array([len(t) for t in texts])[filled]
     values = [
-        np.log1p(n), np.log1p(m), *spread(lengths), *spread(chars), *spread(syl),
-        (chars >= 7).mean(), (chars >= 11).mean(), held[:, 2].mean(), len(types) / np.sqrt(2 * n), (counts == 1).mean(),
-        *shares, commas / m, semicolons / m, clean.count("?") / m, clean.count("!") / m,
-        shares[0] * n / m, shares[1] * n / m, shares[6] * n / m, clauses.mean(), quantiles(clauses, (90,))[0],
-        shared.mean(), (shared > 0).mean(), starts.mean(), sum(map(str.isdigit, text)) / len(text), sum(map(str.isupper, text)) / letters,
-        0.39 * n / m + 11.8 * syl.mean() - 15.59,
+        np.log1p(n), np.log1p(m), *sentences.spread(in_sentence.count), *words.spread(chars), *words.spread(syl),
+        words.mean(chars >= 7), words.mean(chars >= 11), words.mean(held[:, POLY]), kinds.count / np.sqrt(2 * n), kinds.mean(counts == 1),
+        *shares, marks[1] / m, (marks[2] + marks[3]) / m, marks[6] / m, marks[5] / m,
+        shares[0] * n / m, shares[1] * n / m, shares[6] * n / m, clauses.mean(in_clause.count), clauses.quantiles(in_clause.count, (90,))[0],
+        sentences.mean(per_sentence), sentences.quantiles(per_sentence, (90,))[0], sentences.mean(in_sentence.sum(held[:, SUBORDINATOR]) > 0), sentences.quantiles(prepositions, (90,))[0],
+        sentences.mean(before), words.sum(passive) / m, sentences.sum(shared) / gaps, sentences.sum(shared > 0) / gaps, sentences.mean(held[in_sentence.starts, CONNECTIVE]),
+        digits / length, capitals / np.maximum(1, letters), 0.39 * n / m + 11.8 * words.mean(syl) - 15.59,
     ]
-    out[:] = values
+    out[filled] = np.column_stack(values)
     return out
 
 
 def feature_rows(texts: list[str]) -> np.ndarray:
-    vocabulary = Vocabulary()
-    rows = []
-    for i, t in enumerate(texts):
-        if i % 1000 == 0:
-            vocabulary.trim()
-        rows.append(features(t, vocabulary))
-    return np.array(rows, dtype=np.float32).reshape(-1, len(NAMES))
+    """The values of NAMES for each text; zeros for a text without words."""
+    vocabulary, rows, at = Vocabulary(), [np.zeros((0, len(NAMES)), dtype=np.float32)], 0
+    while at < len(texts):
+        stop, held = at, 0
+        while stop < len(texts) and (stop == at or held + len(texts[stop]) <= CHUNK):
+            held += len(texts[stop])
+            stop += 1
+        rows.append(_chunk_features(texts[at:stop], vocabulary))
+        vocabulary.trim()
+        at = stop
+    return np.concatenate(rows)
