@@ -139,3 +139,16 @@ def _report(spark: SparkSession, used: DataFrame, held: DataFrame, shares: list[
         .select("source", F.round("target_share", 6).alias("target_share"), "available_tokens", F.round("epochs", 6).alias("epochs"), "mixture_tokens",
                 F.round(F.coalesce(F.try_divide("mixture_tokens", "total"), F.lit(0.0)), 6).alias("actual_share"))
     )
+
+
+def broken_promises(records: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``source, records, over_cap, foreign``: of each target its records used, those used too often, and those not its own.
+
+    ``records`` is the first frame of :func:`mixture`; document ids have to be unique.
+    """
+    caps = targets.select(clean_source(F.col("source")).alias("source"), "max_repeats").where("source is not null").groupBy("source").agg(F.max("max_repeats").alias("cap"))
+    own = documents.select("doc_id", clean_source(F.col("source")).alias("own"))
+    got = records.join(own, "doc_id").join(F.broadcast(caps) if is_small(caps, MOST_SOURCES) else caps, "source", "right")
+    return got.groupBy("source").agg(
+        F.count("doc_id").alias("records"), F.count_if(F.col("uses") > F.col("cap")).alias("over_cap"), F.count_if(F.col("doc_id").isNotNull() & ~F.col("own").eqNullSafe(F.col("source"))).alias("foreign")
+    )

@@ -24,6 +24,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(p6_packing(spark, d))
 
 
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    return packing.broken_limits(p6_packing(spark, d))
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -32,6 +36,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixture.broken_promises(mixture.mixture(spark, documents, targets)[0], documents, targets).drop("records")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     reader = reading_level.train(documents, table(spark, d, "reading_labels"))[0]
@@ -54,11 +63,20 @@ QUERIES = {
     "p5_classes": p5_classes,
     "p6_packing": p6_packing,
     "p6_report": p6_report,
+    "p6_limits": p6_limits,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_limits": p7_limits,
     "p8_found": p8_found,
     "p8_profile": p8_profile,
     "p8_validation": p8_validation,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CLEAN = "nullif(regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g'), '')"
+
+# What holds whatever the packing and the mixture: every text with a token lies in each kind of container, no limit is broken.
+ORACLE_SQL: dict[str, str] = {
+    "p6_limits": """SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS over_capacity, 0 AS over_segments, 0 AS over_loss, 0 AS cut_short, 0 AS gaps
+FROM containers WHERE capacity_tokens > 0 AND container_kind IS NOT NULL GROUP BY container_kind""",
+    "p7_limits": f"SELECT DISTINCT {_CLEAN} AS source, 0 AS over_cap, 0 AS \"foreign\" FROM mix_targets WHERE {_CLEAN} IS NOT NULL",
+}
