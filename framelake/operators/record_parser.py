@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelake.operators.lookup import lookup_join
-from framelake.sources.delimited import Grammar, parse_line
+from framelake.sources.delimited import NEWLINE, Grammar, parse_lines
 
 #: The fields of a gazetteer line, in order.
 FIELDS = (
@@ -24,15 +26,18 @@ _SCHEMA = "line_id bigint, n_fields int, syntax_error string, error_line int, er
 def split_lines(raw: DataFrame, id_column: str = "line_id", text_column: str = "raw_line") -> DataFrame:
     """``line_id, n_fields, syntax_error, error_line, error_column, fields``: one row for each raw line.
 
-    Each row's text is one record. A null text has no fields (``n_fields`` 0); an empty text has one empty
-    field. Other columns are ignored, whatever their names.
+    Each row's text is one record; a batch of rows is parsed as one text whose record starts are known, where the
+    parser resumes after a broken quote. A null text has no fields (``n_fields`` 0); an empty text has one empty
+    field; a newline within a text is data. Other columns are ignored, whatever their names.
     """
     width = len(FIELDS)
     out = pa.schema([("line_id", pa.int64()), ("n_fields", pa.int32()), ("syntax_error", pa.string()), ("error_line", pa.int32()), ("error_column", pa.int32()), ("fields", pa.list_(pa.string()))])
 
     def parse(batches):
         for batch in batches:
-            rows = [None if t is None else parse_line(t, width) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = iter(parse_lines([t for t in texts if t is not None], width))
+            rows = [None if t is None else next(found) for t in texts]
             cols = [
                 [0 if r is None else len(r.fields) for r in rows],
                 [r and r.error for r in rows],
@@ -45,22 +50,42 @@ def split_lines(raw: DataFrame, id_column: str = "line_id", text_column: str = "
     return raw.select(F.col(f"`{id_column}`").cast("bigint").alias("line_id"), F.col(f"`{text_column}`").alias("raw_line")).mapInArrow(parse, _SCHEMA)
 
 
-def parse_text_files(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """As :func:`split_lines` for texts of many records: adds ``record_no``, and recovers after broken quotes."""
-    width = len(FIELDS)
-    schema = "line_id bigint, record_no bigint, first_line int, n_fields int, syntax_error string, error_line int, error_column int, fields array<string>"
+_OF_FILE = "file_name string, first_line bigint, n_lines bigint, n_fields int, syntax_error string, error_line bigint, error_column int, fields array<string>"
+#: Lines of a file that one group parses, up to the next record start.
+BLOCK_LINES = 5_000
 
-    def parse(batches):
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for no, r in enumerate(Grammar(text, width).records() if text else ()):
-                    rows.append((key, no, r.line, len(r.fields), r.error, r.error_line, r.error_column, None if r.error else r.fields))
-            names = ["line_id", "record_no", "first_line", "n_fields", "syntax_error", "error_line", "error_column", "fields"]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
-
-    return texts.select(F.col(f"`{id_column}`").cast("bigint"), F.col(f"`{text_column}`")).mapInArrow(parse, schema)
+
+def parse_files(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Records of whole files given as rows ``file_name, line_no, raw_line``.
+
+    One row a record: ``file_name, first_line, n_lines, n_fields, syntax_error, error_line, error_column, fields``. A
+    record may span lines where a quoted field does. Where a quote is broken the parser resumes at the next line that
+    looks like a record (a number and tabs enough); lines before that belong to the broken record, so every line of a
+    file belongs to one record. As such a line always starts a record, files are cut at them into blocks of about
+    ``block_lines`` lines, and a file of any size is parsed by many tasks; only a run of lines without any record start
+    stays together. A line number that occurs twice counts once (the smallest text); lines without file or number are
+    left out, null texts are empty lines.
+    """
+    width = len(FIELDS)
+    rows = lines.where("file_name is not null and line_no is not null").groupBy("file_name", "line_no").agg(F.min(F.coalesce("raw_line", F.lit(""))).alias("raw_line"))
+    starts = F.col("raw_line").rlike(r"\A[0-9]+\t") & (F.length("raw_line") - F.length(F.translate("raw_line", "\t", "")) >= width - 1)
+    rows = rows.withColumns({"block": F.floor(F.col("line_no") / block_lines), "starts": starts})
+    # Lines of a block before its first record start belong to the last block before it that has one.
+    blocks = rows.groupBy("file_name", "block").agg(F.min(F.when(F.col("starts"), F.col("line_no"))).alias("first"))
+    before = F.last(F.when(F.col("first").isNotNull(), F.col("block")), ignorenulls=True).over(W.partitionBy("file_name").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(-1)))  # one row for each block of lines
+    own = F.when(F.col("line_no") >= F.col("first"), F.col("block")).otherwise(F.col("before"))
+    placed = rows.join(blocks, ["file_name", "block"]).select("file_name", own.alias("part"), "line_no", "raw_line")
+
+    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no", kind="stable")
+        number = pdf["line_no"].to_numpy()
+        out = []
+        for r in Grammar(NEWLINE.join(pdf["raw_line"]), width).records():
+            out.append((pdf["file_name"].iloc[0], number[r.line - 1], r.lines, len(r.fields), r.error, r.error_line and number[r.error_line - 1], r.error_column, None if r.error else r.fields))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _OF_FILE.split(", ")]).astype({"error_line": "Int64", "error_column": "Int32"})
+
+    return placed.groupBy("file_name", "part").applyInPandas(parse, _OF_FILE)
 
 
 def _degrees_fault(column: Column, limit: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framelake.operators import hot_keys, record_parser, spatial_join, timestamps
 from framelake.session import table
@@ -30,7 +31,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    return record_parser.records(_parsed_lines(spark, d))
+    return record_parser.records(_parsed_lines(spark, d)).withColumn("modification_date", F.col("modification_date").cast("string"))
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """The lines and records of each file: every line belongs to one record, and every validated start begins one."""
+    parsed = record_parser.parse_files(table(spark, d, "gazetteer_raw"))
+    return parsed.groupBy("file_name").agg(F.sum("n_lines").alias("n_lines"), F.count_if(F.col("syntax_error").isNull() & (F.col("n_fields") >= len(record_parser.FIELDS)) & F.get("fields", F.lit(0)).rlike(r"\A[0-9]+\z")).alias("sound"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +50,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_records": p3_records,
+    "p3_files": p3_files,
     "p4_found": p4_found,
 }
 
@@ -81,12 +89,26 @@ SELECT file_id, 'near' AS match_kind, place_id AS match_id FROM p JOIN q ON q.la
 UNION ALL SELECT file_id, 'inside', CAST(polygon_id AS BIGINT) FROM hit ANTI JOIN hole USING (file_id, polygon_id)"""
 
 _QUOTED, _BARE = '"(?:[^"]|"")*"', '[^"\\t][^\\t]*|'
-ORACLE_SQL["p3_found"] = f"""WITH s AS (SELECT line_id, raw_line, regexp_full_match(raw_line, '(?s)(?:{_QUOTED}|{_BARE})(?:\\t(?:{_QUOTED}|{_BARE}))*') AS fine,
+_FAULTS = f"""s AS (SELECT line_id, raw_line, regexp_full_match(raw_line, '(?s)(?:{_QUOTED}|{_BARE})(?:\\t(?:{_QUOTED}|{_BARE}))*') AS fine,
     list_transform(regexp_extract_all(raw_line || chr(9), '(?s)({_QUOTED}|[^\\t]*)\\t', 1), lambda f: CASE WHEN starts_with(f, '"') THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END) AS f FROM gazetteer_raw),
-  r AS (SELECT line_id, CASE WHEN NOT fine THEN 'quoting' WHEN len(f) <> 19 THEN 'columns'
+  r AS (SELECT line_id, f, CASE WHEN NOT fine THEN 'quoting' WHEN len(f) <> 19 THEN 'columns'
     WHEN NOT regexp_full_match(f[5], '-?[0-9]{{1,3}}(\\.[0-9]+)?') OR abs(try_cast(f[5] AS DOUBLE)) > 90 THEN 'latitude'
     WHEN NOT regexp_full_match(f[6], '-?[0-9]{{1,3}}(\\.[0-9]+)?') OR abs(try_cast(f[6] AS DOUBLE)) > 180 THEN 'longitude'
     WHEN NOT EXISTS (SELECT 1 FROM feature_codes c WHERE c.feature_class = f[7] AND c.feature_code = f[8]) THEN 'feature_code'
     WHEN f[11] <> '' AND NOT EXISTS (SELECT 1 FROM admin1_codes a WHERE a.country = f[9] AND a.admin1 = f[11]) THEN 'state'
-    WHEN f[15] <> '' AND NOT regexp_full_match(f[15], '[0-9]{{1,10}}') THEN 'population' END AS reason FROM s)
-SELECT line_id, reason FROM r WHERE reason IS NOT NULL"""
+    WHEN f[15] <> '' AND NOT regexp_full_match(f[15], '[0-9]{{1,10}}') THEN 'population' END AS reason FROM s)"""
+ORACLE_SQL["p3_found"] = f"WITH {_FAULTS} SELECT line_id, reason FROM r WHERE reason IS NOT NULL"
+
+
+def _typed(i: int, name: str) -> str:
+    text = f"rtrim(regexp_replace(f[{i}], '\\r$', ''), ' ')"
+    whole = f"CASE WHEN regexp_full_match({text}, '\\s*[+-]?[0-9]+\\s*') THEN try_cast({text} AS {{}}) END"
+    kinds = {"latitude": f"try_cast({text} AS DOUBLE)", "longitude": f"try_cast({text} AS DOUBLE)", "modification_date": f"CAST(try_cast({text} AS DATE) AS VARCHAR)"}
+    kinds |= {n: whole.format("BIGINT") for n in ("population", "geonameid")} | {n: whole.format("INTEGER") for n in ("elevation", "dem")}
+    return f"{kinds.get(name, f'f[{i}]')} AS {name}"
+
+
+ORACLE_SQL["p3_records"] = f"WITH {_FAULTS} SELECT line_id, {', '.join(_typed(i, n) for i, n in enumerate(record_parser.FIELDS, 1))} FROM r WHERE reason IS NULL"
+ORACLE_SQL["p3_files"] = f"""WITH l AS (SELECT file_name, line_no, min(coalesce(raw_line, '')) AS raw_line FROM gazetteer_raw WHERE file_name IS NOT NULL AND line_no IS NOT NULL GROUP BY 1, 2)
+SELECT file_name, count(*) AS n_lines, count(*) FILTER (regexp_matches(raw_line, '^[0-9]+\\t') AND regexp_full_match(raw_line, '(?s)(?:{_QUOTED}|{_BARE})(?:\\t(?:{_QUOTED}|{_BARE}))*') AND
+  len(regexp_extract_all(raw_line || chr(9), '(?s)({_QUOTED}|[^\\t]*)\\t', 1)) >= 19) AS sound FROM l GROUP BY 1"""
