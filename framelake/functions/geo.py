@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,20 @@ def neighbour_cells(x: Column, y: Column, precision: int, ring: int = 1) -> Colu
     return F.array_distinct(F.filter(cells, lambda c: c["y"].between(0, (1 << ny) - 1)))
 
 
+def cells_within(lat: Column, lon: Column, km: float, precision: int) -> Column:
+    """``array<struct<x, y>>`` of every cell that a circle about a position touches; columns wrap."""
+    n = 1 << _bits(precision)[0]
+    angle = km / EARTH_KM
+    high = math.degrees(angle) + 1e-9
+    reach = F.sin(F.lit(min(angle, math.pi / 2))) / F.cos(F.radians(lat))
+    polar = (F.abs(lat) + high >= 90) | (reach >= 1)
+    wide = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(reach, F.lit(1.0)))) + 1e-9)
+    left, right = F.floor((lon - wide + 180) / 360 * n), F.floor((lon + wide + 180) / 360 * n)
+    columns = F.array_distinct(F.transform(F.sequence(left, F.least(right, left + n - 1)), lambda c: F.pmod(c, F.lit(n))))
+    rows = F.sequence(cell_y(lat - high, precision), cell_y(lat + high, precision))
+    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(x.cast("bigint").alias("x"), y.alias("y")))))
+
+
 def ancestors(cell: Column) -> Column:
     """The proper prefixes of a geohash, shortest first; empty for one letter."""
     return F.when(F.length(cell) <= 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(cell) - 1), lambda n: F.substring(cell, F.lit(1), n)))

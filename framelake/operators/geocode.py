@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.functions.geo import cell_hash, cell_x, cell_y, feature_priority, haversine_km, neighbour_cells, place_type
+from framelake.functions.geo import cell_hash, cell_x, cell_y, cells_within, feature_priority, haversine_km, neighbour_cells, place_type
 from framelake.operators.enrich import has_coordinates
 from framelake.operators.lookup import lookup_join
+from framelake.session import ship_package
 
 PRECISION = 4
 RADIUS_KM = 50.0
@@ -29,31 +30,34 @@ def place_index(places: DataFrame, precision: int = PRECISION, minimum_populatio
     )
 
 
-def _near(points: DataFrame, index: DataFrame, precision: int, ring: int) -> DataFrame:
+def _near(points: DataFrame, index: DataFrame, precision: int, ring: int | None, radius_km: float) -> DataFrame:
     """Each point joined with the places of its cell and those around, with ``km``.
 
     The points are first reduced to their distinct positions, so many files of one spot are one lookup; the
-    places are bucketed into the cells around them, so a position meets its places by an equi-join.
+    places are bucketed into the cells around them, so a position meets its places by an equi-join. Without
+    ``ring`` the cells are all that a circle of the radius about the place touches.
     """
-    spread = index.withColumn("cell", F.explode(neighbour_cells(F.col("x"), F.col("y"), precision, ring))).drop("x", "y").select("*", "cell.x", "cell.y").drop("cell")
+    around = neighbour_cells(F.col("x"), F.col("y"), precision, ring) if ring is not None else cells_within(F.col("place_lat"), F.col("place_lon"), radius_km, precision)
+    spread = index.withColumn("cell", F.explode(around)).drop("x", "y").select("*", "cell.x", "cell.y").drop("cell")
     at = points.withColumns({"x": cell_x(F.col("lon"), precision), "y": cell_y(F.col("lat"), precision)})
     joined = at.join(spread, ["x", "y"])
     return joined.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")))
 
 
-def nearest_places(points: DataFrame, index: DataFrame, radius_km: float = RADIUS_KM, precision: int = PRECISION, ring: int = 1, by_country: bool = False) -> DataFrame:
+def nearest_places(points: DataFrame, index: DataFrame, radius_km: float = RADIUS_KM, precision: int = PRECISION, ring: int | None = 1, by_country: bool = False) -> DataFrame:
     """``lat, lon, any_id, any_name, any_km, city_id, city_name, city_km, state, country``: one row a position.
 
     ``points`` has ``lat, lon`` (and ``country`` with ``by_country``, which then restricts the candidates
     where it is known). The nearest of all places and the nearest town or larger, strictly within the
     radius, in one aggregation; ties go to the smaller place_id. Distances are compared to the millimetre.
     State and country are those of the nearest place. Positions without a candidate give no row. With
-    ``ring`` 1 at precision 4 places farther than about 20 km may lie beyond the cells searched.
+    ``ring`` 1 at precision 4 places farther than about 20 km may lie beyond the cells searched; ``ring`` None
+    searches the whole radius.
     """
     keys = ["lat", "lon", *(["point_country"] if by_country else [])]
     asked = points.where(has_coordinates(F.col("lat"), F.col("lon")))
     asked = asked.select("lat", "lon", *([F.col("country").alias("point_country")] if by_country else [])).distinct()
-    near = _near(asked, index, precision, ring).where(F.col("km") < radius_km)
+    near = _near(asked, index, precision, ring, radius_km).where(F.col("km") < radius_km)
     if by_country:
         near = near.where(F.col("point_country").isNull() | (F.col("point_country") == F.col("country")))
     best = F.struct(F.round("km", 6).alias("km"), "place_id", "name", "admin1", "country")
@@ -64,28 +68,28 @@ def nearest_places(points: DataFrame, index: DataFrame, radius_km: float = RADIU
     )
 
 
-def reverse_geocode(points: DataFrame, index: DataFrame, radius_km: float = RADIUS_KM, countries: DataFrame | None = None) -> DataFrame:
+def reverse_geocode(points: DataFrame, index: DataFrame, radius_km: float = RADIUS_KM, countries: DataFrame | None = None, ring: int | None = 1) -> DataFrame:
     """``lat, lon, district, city, state, country`` of positions; no row where nothing is near.
 
     ``countries`` (``lat, lon, country``, at most one row a position) restricts a position's candidates to
     its country; where that leaves none, all candidates count.
     """
     pick = lambda df: df.select("lat", "lon", F.col("any_name").alias("district"), F.col("city_name").alias("city"), "state", "country")
-    free = pick(nearest_places(points, index, radius_km))
+    free = pick(nearest_places(points, index, radius_km, ring=ring))
     if countries is None:
         return free
     known = points.select("lat", "lon").distinct().join(countries.where("country is not null"), ["lat", "lon"])
-    strict = pick(nearest_places(known, index, radius_km, by_country=True).drop("point_country"))
+    strict = pick(nearest_places(known, index, radius_km, ring=ring, by_country=True).drop("point_country"))
     both = free.alias("f").join(strict.alias("s"), ["lat", "lon"], "left")
     return both.select("lat", "lon", *[F.when(F.col("s.district").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in ("district", "city", "state", "country")])
 
 
-def streamed_geocode(points: DataFrame, index: DataFrame, radius_km: float = RADIUS_KM, large_city: int = 100_000) -> DataFrame:
+def streamed_geocode(points: DataFrame, index: DataFrame, radius_km: float = RADIUS_KM, large_city: int = 100_000, ring: int | None = 1) -> DataFrame:
     """``lat, lon, any_id, city_id``: within 15 km the place of the highest priority, beyond it the nearest.
 
     A city is a place of at least ``large_city`` people; distances up to the radius, inclusive.
     """
-    near = _near(points.where(has_coordinates(F.col("lat"), F.col("lon"))).select("lat", "lon").distinct(), index, PRECISION, 1).where(F.col("km") <= radius_km)
+    near = _near(points.where(has_coordinates(F.col("lat"), F.col("lon"))).select("lat", "lon").distinct(), index, PRECISION, ring, radius_km).where(F.col("km") <= radius_km)
     far = F.col("km") > PRIORITY_KM
     rank = F.struct(far.alias("far"), F.when(~far, -F.col("priority")).otherwise(0).alias("p"), F.round("km", 6).alias("km"), "place_id")
     got = near.groupBy("lat", "lon").agg(F.min(rank).alias("a"), F.min(F.when(F.col("population") >= large_city, rank)).alias("c"))
@@ -131,6 +135,7 @@ def prune_nearby(index: DataFrame, within_km: float = PRUNE_KM, precision: int =
                 open_rows &= 2 * 6371.0 * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0, 1 - a))) > within_km
         return pdf.iloc[kept]
 
+    ship_package(index.sparkSession)
     return index.groupBy("x", "y").applyInPandas(prune, index.schema)
 
 

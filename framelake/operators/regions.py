@@ -4,45 +4,109 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions.geo import bounding_box, box_contains, cell_bounds, cell_x, cell_y, on_edge, point_in_polygon
+from framelake.functions.geo import cell_bounds, cell_x, cell_y, ring_edges
 from framelake.operators.enrich import has_coordinates
+from framelake.session import ship_package
 
 PRECISION = 3
 TOLERANCE = 0.01
+#: Degrees by which a cell's box is taken wider than it is, for rounding.
+_SLACK = 1e-9
 
 
-def polygon_cells(boundaries: DataFrame, precision: int = PRECISION, margin: float = 0.0) -> DataFrame:
-    """Each polygon in every cell its bounding box touches: ``x, y, country, polygon_id, ring, holes, box``.
+def _whole_points(ring: Column) -> Column:
+    return F.filter(ring, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
 
-    With a ``margin`` the cells are those of the box and so many degrees around it; columns wrap.
+
+def _edges(ring: Column, part: Column) -> Column:
+    """``array<struct<x1, y1, x2, y2, part>>`` of a ring; null vertices are skipped, fewer than 3 give none."""
+    edge = lambda e: F.struct(e["a"]["lon"].alias("x1"), e["a"]["lat"].alias("y1"), e["b"]["lon"].alias("x2"), e["b"]["lat"].alias("y2"), part.cast("int").alias("part"))
+    return F.transform(ring_edges(_whole_points(ring)), edge)
+
+
+def polygon_edges(boundaries: DataFrame) -> DataFrame:
+    """``country, polygon_id, edges`` of polygons with a ring of 3 points at least: part 0 is the ring, others are holes."""
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double,part:int>>")
+    holes = F.flatten(F.transform(F.filter(F.coalesce("holes", F.array()), lambda h: h.isNotNull()), lambda h, i: _edges(h, i + 1)))
+    ring = _edges(F.col("ring"), F.lit(0))
+    return boundaries.select("country", "polygon_id", ring.alias("_ring"), F.coalesce(holes, none).alias("_holes")).where(F.size("_ring") > 0).select("country", "polygon_id", F.concat("_ring", "_holes").alias("edges"))
+
+
+def _crossed_parts(lat: Column, lon: Column, edges: Column) -> Column:
+    """The parts of the edges that a ray eastward crosses, one item for each crossing."""
+
+    def crosses(e: Column) -> Column:
+        return ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.when(e["y1"] != e["y2"], e["y2"] - e["y1"]) + e["x1"])
+
+    return F.transform(F.filter(edges, crosses), lambda e: e["part"])
+
+
+def _inside(parts: Column) -> Column:
+    """Whether crossings put a point into a ring and into no hole."""
+    odd = lambda part: F.size(F.filter(parts, lambda p: p == part)) % 2 == 1
+    return odd(F.lit(0)) & ~F.exists(F.array_distinct(F.filter(parts, lambda p: p > 0)), odd)
+
+
+def contains(lat: Column, lon: Column, edges: Column) -> Column:
+    return _inside(_crossed_parts(lat, lon, edges))
+
+
+def polygon_cells(boundaries: DataFrame, precision: int = PRECISION) -> DataFrame:
+    """``x, y, country, polygon_id, whole, edges``: the cells that a polygon meets, with what decides there.
+
+    Where no edge touches the cell, ``whole`` tells that it lies inside (cells outside are left out) and there are no
+    edges. Elsewhere ``edges`` are those that a ray eastward from within the cell may cross: a cell takes along only
+    these, so the shuffled size grows with the border and not with border times cells.
     """
-    boxed = boundaries.where(F.size("ring") >= 3).withColumn("box", bounding_box(F.col("ring")))
-    more = margin + 1e-9 if margin else 0.0  # a rounded sum must not end before a cell's border
-    xs = F.sequence(cell_x(F.col("box.min_lon") - more, precision), cell_x(F.col("box.max_lon") + more, precision))
-    if margin:
-        none = F.array().cast("array<bigint>")
-        around = lambda low, high: F.sequence(cell_x(low, precision), cell_x(high, precision))
-        left = F.when(F.col("box.min_lon") - more <= -180, around(F.col("box.min_lon") - more + 360, F.lit(180.0)))
-        right = F.when(F.col("box.max_lon") + more >= 180, around(F.lit(-180.0), F.col("box.max_lon") + more - 360))
-        xs = F.array_distinct(F.concat(xs, F.coalesce(left, none), F.coalesce(right, none)))
-    ys = F.sequence(cell_y(F.col("box.min_lat") - more, precision), cell_y(F.col("box.max_lat") + more, precision))
-    return boxed.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys)).select("x", "y", "country", "polygon_id", "ring", "holes", "box")
+    shapes = polygon_edges(boundaries)
+    of = lambda name, pick: pick(F.transform(F.filter("edges", lambda e: e["part"] == 0), lambda e: e[name]))
+    shapes = shapes.withColumns({"_y": F.sequence(cell_y(of("y1", F.array_min), precision), cell_y(of("y1", F.array_max), precision)), "_x": F.sequence(cell_x(of("x1", F.array_min), precision), cell_x(of("x1", F.array_max), precision))})
+    box = cell_bounds(F.lit(0), F.col("y"), precision)
+    rows = shapes.withColumn("y", F.explode("_y")).withColumns({"_low": box["min_lat"], "_high": box["max_lat"]})
+    in_row = F.filter("edges", lambda e: (F.least(e["y1"], e["y2"]) <= F.col("_high") + _SLACK) & (F.greatest(e["y1"], e["y2"]) >= F.col("_low") - _SLACK))
+    rows = rows.select("country", "polygon_id", "y", "_low", "_high", in_row.alias("edges"), F.explode("_x").alias("x"))
+    box = cell_bounds(F.col("x"), F.lit(0), precision)
+    cells = rows.withColumns({"_left": box["min_lon"], "_right": box["max_lon"]})
+    cells = cells.withColumn("edges", F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("_left") - _SLACK))
+    touched = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= F.col("_right") + _SLACK)
+    cells = cells.withColumns({"touched": touched, "_middle": _crossed_parts((F.col("_low") + F.col("_high")) / 2, (F.col("_left") + F.col("_right")) / 2, F.col("edges"))})
+    cells = cells.withColumn("whole", ~F.col("touched") & _inside(F.col("_middle"))).where("touched or whole")
+    return cells.select("x", "y", "country", "polygon_id", "whole", F.when(F.col("touched"), F.col("edges")).alias("edges"))
+
+
+_CELLS = "x bigint, y bigint, country string, polygon_id int, whole boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double,part:int>>"
+
+
+def write_border_index(boundaries: DataFrame, path: str, precision: int = PRECISION) -> None:
+    """Prepared borders: :func:`polygon_cells` as parquet clustered by cell."""
+    polygon_cells(boundaries, precision).withColumn("precision", F.lit(precision)).repartitionByRange("x", "y").sortWithinPartitions("x", "y").write.mode("overwrite").parquet(path)
+
+
+def read_border_index(spark: SparkSession, path: str) -> DataFrame:
+    """Prepared borders, which the lookups take in place of boundaries of the same precision."""
+    return spark.read.schema(_CELLS + ", precision int").parquet(path)
+
+
+def _cells_of(boundaries: DataFrame, precision: int) -> DataFrame:
+    if "edges" not in boundaries.columns:
+        return polygon_cells(boundaries, precision)
+    return boundaries.where(F.col("precision") == precision).drop("precision")
 
 
 def containing_polygons(points: DataFrame, boundaries: DataFrame, precision: int = PRECISION) -> DataFrame:
     """``lat, lon, country, polygon_id``: the polygons that contain each distinct position.
 
-    An equi-join on cells brings a position together with the polygons whose box touches its cell; the box
-    and then the even-odd rule decide.
+    An equi-join on cells brings a position together with the polygons that meet its cell; there either the whole
+    cell lies inside or the even-odd rule of the cell's edges decides.
     """
     at = points.where(has_coordinates(F.col("lat"), F.col("lon"))).select("lat", "lon").distinct()
     at = at.withColumns({"x": cell_x(F.col("lon"), precision), "y": cell_y(F.col("lat"), precision)})
-    met = at.join(polygon_cells(boundaries, precision), ["x", "y"]).where(box_contains(F.col("box"), F.col("lat"), F.col("lon")))
-    inside = point_in_polygon(F.col("lat"), F.col("lon"), F.col("ring"), F.col("holes"))
-    return met.where(inside).select("lat", "lon", F.trim("country").alias("country"), "polygon_id")
+    met = at.join(_cells_of(boundaries, precision), ["x", "y"])
+    met = met.withColumn("crossed", F.when(~F.col("whole"), _crossed_parts(F.col("lat"), F.col("lon"), F.col("edges"))))
+    return met.where(F.col("whole") | _inside(F.col("crossed"))).select("lat", "lon", F.trim("country").alias("country"), "polygon_id")
 
 
 def country_lookup(points: DataFrame, boundaries: DataFrame, precision: int = PRECISION) -> DataFrame:
@@ -58,13 +122,26 @@ def country_lookup(points: DataFrame, boundaries: DataFrame, precision: int = PR
 
 
 def edge_points(points: DataFrame, boundaries: DataFrame, tolerance: float = 1e-4, precision: int = PRECISION) -> DataFrame:
-    """``lat, lon, polygon_id``: positions within ``tolerance`` degrees of a ring's edge, also across the antimeridian."""
+    """``lat, lon, polygon_id``: positions within ``tolerance`` degrees of a ring's edge, also across the antimeridian.
+
+    Each edge goes to the cells that its box, widened by the tolerance, touches; positions meet only the edges of their cell.
+    """
     at = points.where(has_coordinates(F.col("lat"), F.col("lon"))).select("lat", "lon").distinct()
     at = at.withColumns({"x": cell_x(F.col("lon"), precision), "y": cell_y(F.col("lat"), precision)})
-    met = at.join(polygon_cells(boundaries, precision, tolerance), ["x", "y"])
-    lat, lon, ring = F.col("lat"), F.col("lon"), F.col("ring")
-    beyond = (F.col("box.max_lon") + tolerance >= 180) & on_edge(lat, lon + 360, ring, tolerance) | (F.col("box.min_lon") - tolerance <= -180) & on_edge(lat, lon - 360, ring, tolerance)
-    return met.where(on_edge(lat, lon, ring, tolerance) | beyond).select("lat", "lon", "polygon_id")
+    edges = polygon_edges(boundaries).select("polygon_id", F.inline("edges")).where("part = 0").drop("part")
+    more = tolerance + _SLACK
+    west, east = F.least("x1", "x2") - more, F.greatest("x1", "x2") + more
+    # An edge that reaches beyond the antimeridian is met from the other side as well, moved by a turn.
+    turns = F.concat(F.array(F.lit(0.0)), F.when(east > 180, F.array(F.lit(-360.0))).otherwise(F.array()), F.when(west < -180, F.array(F.lit(360.0))).otherwise(F.array()))
+    edges = edges.withColumn("turn", F.explode(turns)).withColumns({"x1": F.col("x1") + F.col("turn"), "x2": F.col("x2") + F.col("turn")})
+    span = lambda cell, a, b: F.explode(F.sequence(cell(F.least(a, b) - more, precision), cell(F.greatest(a, b) + more, precision)))
+    edges = edges.withColumn("x", span(cell_x, "x1", "x2")).withColumn("y", span(cell_y, "y1", "y2")).drop("turn")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    square = dx * dx + dy * dy
+    along = F.when(square > 0, ((F.col("lon") - F.col("x1")) * dx + (F.col("lat") - F.col("y1")) * dy) / F.when(square > 0, square)).otherwise(0.0)
+    along = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    near = F.hypot(F.col("lon") - (F.col("x1") + along * dx), F.col("lat") - (F.col("y1") + along * dy)) < tolerance
+    return at.join(edges, ["x", "y"]).where(near).select("lat", "lon", "polygon_id").distinct()
 
 
 def cell_countries(boundaries: DataFrame, precision: int = PRECISION) -> DataFrame:
@@ -75,7 +152,7 @@ def cell_countries(boundaries: DataFrame, precision: int = PRECISION) -> DataFra
         F.struct(((b["min_lat"] + b["max_lat"]) / 2).alias("lat"), ((b["min_lon"] + b["max_lon"]) / 2).alias("lon")),
         *[F.struct(b[la].alias("lat"), b[lo].alias("lon")) for la in ("min_lat", "max_lat") for lo in ("min_lon", "max_lon")],
     )
-    held = cells.where(F.exists(spots, lambda p: point_in_polygon(p["lat"], p["lon"], F.col("ring"), F.col("holes"))))
+    held = cells.where(F.col("whole") | F.exists(spots, lambda p: contains(p["lat"], p["lon"], F.col("edges"))))
     return held.groupBy("x", "y").agg(F.array_sort(F.collect_set(F.trim("country"))).alias("countries")).withColumn("is_border", F.size("countries") > 1)
 
 
@@ -111,4 +188,5 @@ def simplified(boundaries: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
             rings = [simplify_ring([(p["lat"], p["lon"]) for p in r if p is not None], tolerance) if r is not None else [] for r in pdf["ring"]]
             yield pd.DataFrame({"country": pdf["country"], "polygon_id": pdf["polygon_id"], "ring": [[{"lat": la, "lon": lo} for la, lo in r] for r in rings]})
 
+    ship_package(boundaries.sparkSession)
     return boundaries.select("country", "polygon_id", "ring").mapInPandas(run, "country string, polygon_id int, ring array<struct<lat:double,lon:double>>")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators.quadtree import QuadTree
 from framelake.operators.rtree import RTree
+from framelake.session import ship_package
 
 EARTH_KM = 6371.0
 KM_PER_DEGREE = math.radians(1) * EARTH_KM
@@ -175,6 +176,7 @@ def spatial_matches(
     fewer than three points is empty; null vertices and null holes are skipped. Empty tables match nothing.
     """
     spark = points.sparkSession
+    ship_package(spark)
     keep = F.col("id").isNotNull() & usable(F.col("lat"), F.col("lon"))
     points = points.select("id", "lat", "lon").where(keep)
     places = places.select("id", "lat", "lon").where(keep).distinct()

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from framelake.operators import geocode, joins, regions, reports, state
@@ -130,6 +131,117 @@ def test_edge_points_beyond_the_box(spark):
     assert sorted((r.polygon_id, r.lat, r.lon) for r in regions.edge_points(points, b, 0.05).collect()) == sorted(near)
 
 
+SHAPE = "polygon_id int, country string, ring array<struct<lat:double,lon:double>>, holes array<array<struct<lat:double,lon:double>>>"
+
+
+def test_polygons_with_holes_by_cells(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    square = lambda y, x, n: [(y, x), (y, x + n), (y + n, x + n), (y + n, x)]
+    shapes = [
+        (1, "A", square(0.0, 0.0, 9.0), [square(6.0, 6.0, 5.0), square(1.0, 1.0, 4.0), square(2.0, 2.0, 4.0)]), (2, "B", square(-20.0, -20.0, 50.0), None),
+        (3, "C", [(0.0, 0.0), (1.0, 1.0)], []), (4, None, [(-5.0, 170.0), (5.0, 170.0), (5.0, 180.0), (-5.0, 180.0)], [[], None]), (5, "E", None, None),
+    ]
+    pts = [(rng.uniform(-12, 12), rng.uniform(-12, 12)) for _ in range(400)] + [(rng.uniform(-6, 6), rng.uniform(168, 180)) for _ in range(100)]
+
+    def odd(y, x, ring):
+        edges = zip(ring, ring[1:] + ring[:1], strict=True) if ring and len(ring) > 2 else []
+        return sum((a[0] > y) != (b[0] > y) and x < a[1] + (b[1] - a[1]) * (y - a[0]) / (b[0] - a[0]) for a, b in edges) % 2 == 1
+
+    want = {(y, x, p) for y, x in pts for p, _, ring, holes in shapes if odd(y, x, ring) and not any(odd(y, x, h) for h in holes or [])}
+    b, points = spark.createDataFrame(shapes, SHAPE), spark.createDataFrame(pts, "lat double, lon double")
+    for precision in (2, 3, 4):
+        assert {(r.lat, r.lon, r.polygon_id) for r in regions.containing_polygons(points, b, precision).collect()} == want
+    cells = regions.polygon_cells(b).collect()
+    assert any(c.whole for c in cells) and max(len(c.edges or []) for c in cells) < 16
+    regions.write_border_index(b, str(tmp_path / "borders"))
+    held = regions.read_border_index(spark, str(tmp_path / "borders"))
+    assert {(r.lat, r.lon, r.polygon_id) for r in regions.containing_polygons(points, held).collect()} == want
+    assert regions.country_lookup(points, held).where("country = 'A'").count() == len({w[:2] for w in want if w[2] == 1})
+
+
+def test_simplify_against_recursion():
+    import random
+    from math import hypot
+
+    rng = random.Random(3)
+
+    def gap(p, a, b):
+        d = (b[0] - a[0], b[1] - a[1])
+        n = hypot(*d)
+        return hypot(p[0] - a[0], p[1] - a[1]) if n == 0 else abs(d[0] * (p[1] - a[1]) - d[1] * (p[0] - a[0])) / n
+
+    def slow(line):
+        if len(line) < 3:
+            return line
+        far = max(range(1, len(line) - 1), key=lambda i: gap(line[i], line[0], line[-1]))
+        return slow(line[: far + 1])[:-1] + slow(line[far:]) if gap(line[far], line[0], line[-1]) > 0.1 else [line[0], line[-1]]
+
+    for n in (5, 9, 60):
+        ring = [[rng.uniform(0, 1), rng.uniform(0, 1)] for _ in range(n)]
+        ring.append(ring[0])
+        assert regions.simplify_ring([tuple(p) for p in ring], 0.1) == slow(ring)
+
+
+def test_prune_against_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, f"n{i}", rng.uniform(0, 1), rng.uniform(0, 1), "P", rng.choice(["PPL", "PPLA", "PPLC", None]), "XA", "01", rng.choice([None, 0, 500, 20_000, 200_000])) for i in range(250)]
+    places = spark.createDataFrame(rows, "place_id bigint, name string, lat double, lon double, feature_class string, feature_code string, country string, admin1 string, population bigint")
+    index = geocode.place_index(places)
+
+    def km(a, b):
+        s = math.sin(math.radians(a[0] - b[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(a[1] - b[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(s))
+
+    cells = {}
+    for r in sorted(index.collect(), key=lambda r: (-r.kind, -(r.population or 0), r.place_id)):
+        kept = cells.setdefault((r.x, r.y), [])
+        if all(km((r.place_lat, r.place_lon), k[1:]) > 5 for k in kept):
+            kept.append((r.place_id, r.place_lat, r.place_lon))
+    assert {r.place_id for r in geocode.prune_nearby(index).collect()} == {k[0] for kept in cells.values() for k in kept}
+
+
+def test_nearest_place_of_the_whole_radius(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    spots = [(rng.uniform(*rng.choice([(-1, 1), (59, 61), (88.8, 90), (-90, -89)])), rng.choice([rng.uniform(-2, 2), rng.uniform(178, 180), rng.uniform(-180, -178)])) for _ in range(160)]
+    rows = [(i, f"n{i}", y, x, "P", "PPL", "XA", "01", 10) for i, (y, x) in enumerate(spots[:80])]
+    places = spark.createDataFrame(rows, "place_id bigint, name string, lat double, lon double, feature_class string, feature_code string, country string, admin1 string, population bigint")
+
+    def km(a, b):
+        s = math.sin(math.radians(a[0] - b[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(a[1] - b[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(s))
+
+    got = {(r.lat, r.lon): r.any_id for r in geocode.nearest_places(spark.createDataFrame(spots[80:], "lat double, lon double"), geocode.place_index(places), ring=None).collect()}
+    want = {p: d[1] for p in spots[80:] if (d := min((km(p, q), i) for i, q in enumerate(spots[:80])))[0] < 50}
+    assert got == want and len(want) > 20
+
+
+def test_running_progress_and_no_name_left(spark, monkeypatch):
+    rows = [(i, "a" if i % 3 else "b", None if i == 5 else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "n bigint, batch string, size bigint")
+    got = {r.n: (r.done, r.done_bytes, r.percent) for r in reports.running_progress(df, "batch", "n", "size").collect()}
+    for n, batch, _ in rows:
+        before = [r for r in rows if r[1] == batch and r[0] <= n]
+        assert got[n][:2] == (len(before), sum(r[2] or 0 for r in before))
+    assert got[299][2] == 100.0
+    from framelake.operators import collisions
+
+    monkeypatch.setattr(collisions, "MOST_NUMBERS", 3)
+    clean = spark.createDataFrame([(f"{i}", "/d/a.jpg") for i in range(5)], "path string, destination string")
+    dirty = clean.unionByName(spark.createDataFrame([("x", "/d/a-1.jpg")], "path string, destination string"))
+    for plan in (clean, dirty):
+        with pytest.raises(Exception, match="no free name for /d/a.jpg"):
+            collisions.resolve_collisions(plan).collect()
+    assert collisions.resolve_collisions(clean.limit(4)).count() == 4
+
+
 def test_state(spark):
     ops = spark.createDataFrame([(0, "Completed", 5, T), (1, "Failed", 7, T), (2, "CopyDonePendingDelete", 9, T + timedelta(1)), (3, "Skipped", 1, None)], "file_index int, result string, file_size bigint, ts timestamp")
     plan = spark.createDataFrame([(i,) for i in range(5)], "file_index int")
