@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.text import base_name, dir_name, file_extension, file_stem
 from framelake.operators.ranking import spread_rank
+from framelake.session import ship_package
 from framelake.storage import write_table
 
 MOST_NUMBERS = 10_000
@@ -30,7 +31,8 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, order
     whose name is neither claimed nor in ``existing`` (a frame with the same column). ``mode`` ``skip`` drops
     them instead (null), ``overwrite`` lets all keep it. Numbers are ranks; only families of names (same
     folder, extension and stem without numbers) in which a numbered name meets an asked-for or existing one
-    are replayed one row after the other. A number over MOST_NUMBERS in such a replay raises.
+    are replayed one row after the other. A row that needs a number over MOST_NUMBERS fails the query with its name,
+    whichever way its number is found.
     """
     if mode == "overwrite":
         return plan.withColumn("resolved", F.col(column))
@@ -44,6 +46,7 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, order
     name, folder = base_name(F.col(column)), dir_name(F.col(column))
     suffix = F.concat(F.lit(form.split("{number}")[0]), number.cast("string"), F.lit(form.split("{number}")[1]))
     made = F.concat(folder, F.lit("/"), file_stem(name), suffix, file_extension(name))
+    made = F.when(number > MOST_NUMBERS, F.raise_error(F.concat(F.lit("no free name for "), F.col(column)))).otherwise(made)
     pattern = "(" + re.escape(form).replace(r"\{number\}", r"\d+") + ")+$"
     family = F.lower(F.concat_ws("\x00", folder, F.regexp_replace(file_stem(name), pattern, ""), file_extension(name)))
     first = write_table(ranked.withColumns({"resolved": F.when(number == 0, F.col(column)).otherwise(made), "_number": number, "_family": family}), "claims")
@@ -58,17 +61,20 @@ def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, order
 
     def replay(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         claimed = set(held["_name"])
-        out = []
+        out, reached = [], {}  # names are only ever taken, so a wish goes on from the number it reached last
         for wish in (rows := rows.sort_values(order, kind="stable"))[column]:
-            got, n = wish, 0
+            n = reached.get(wish.lower(), 0)
+            got = numbered(wish, n, form) if n else wish
             while got.lower() in claimed:
                 n += 1
                 if n > MOST_NUMBERS:
                     raise ValueError(f"no free name for {wish}")
                 got = numbered(wish, n, form)
             claimed.add(got.lower())
+            reached[wish.lower()] = n
             out.append(got)
         return rows.assign(resolved=out)[list(rows.columns)]
 
+    ship_package(plan.sparkSession)
     replayed = dirty.groupBy("_family").cogroup(stock.groupBy("_family")).applyInPandas(replay, dirty.schema)
     return clean.unionByName(replayed).drop(key, rank, "_taken", "_number", "_family")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelake.functions.text import format_bytes_report, percentage, reason_code, reason_text
+from framelake.operators.lookup import lookup_join
+from framelake.operators.ranking import spread_rank
 
 # Fixed values.
 PHOTO_EXTENSIONS = (".jpg", ".jpeg", ".png", ".heic", ".gif", ".bmp", ".tiff", ".tif", ".cr2", ".cr3", ".nef", ".arw", ".dng", ".orf", ".rw2", ".raf", ".pef", ".srw")
@@ -25,13 +26,16 @@ def copy_statistics(files: DataFrame, ts: str = "ts") -> DataFrame:
     """One row: files, photos, videos, located, distinct countries and cities (without case), bytes, dates."""
     ext = F.lower("ext")
     city = F.coalesce("location.city", "location.district")
-    return files.agg(
-        F.count(F.lit(1)).alias("total_files"), F.count_if(ext.isin(*PHOTO_EXTENSIONS)).alias("photos"), F.count_if(ext.isin(*VIDEO_EXTENSIONS)).alias("videos"),
-        F.count_if(F.col("location").isNotNull()).alias("with_location"),
-        F.count_distinct(F.when(F.trim("location.country") != "", F.lower("location.country"))).alias("countries"),
-        F.count_distinct(F.when(F.trim(city) != "", F.lower(city))).alias("cities"),
-        F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_bytes"),
-        F.min(F.unix_micros(ts)).alias("earliest_us"), F.max(F.unix_micros(ts)).alias("latest_us"),
+    # Partial sums by (country, city) first, which is combined before the shuffle; then few rows are left to count apart.
+    keyed = files.groupBy(F.when(F.trim("location.country") != "", F.lower("location.country")).alias("country"), F.when(F.trim(city) != "", F.lower(city)).alias("city")).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(ext.isin(*PHOTO_EXTENSIONS)).alias("photos"), F.count_if(ext.isin(*VIDEO_EXTENSIONS)).alias("videos"),
+        F.count_if(F.col("location").isNotNull()).alias("located"), F.sum("length").alias("bytes"), F.min(F.unix_micros(ts)).alias("earliest"), F.max(F.unix_micros(ts)).alias("latest"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return keyed.agg(
+        total("files").alias("total_files"), total("photos").alias("photos"), total("videos").alias("videos"), total("located").alias("with_location"),
+        F.count_distinct("country").alias("countries"), F.count_distinct("city").alias("cities"), total("bytes").alias("total_bytes"),
+        F.min("earliest").alias("earliest_us"), F.max("latest").alias("latest_us"),
     )
 
 
@@ -71,11 +75,13 @@ def unknown_files(files: DataFrame) -> DataFrame:
 
 
 def running_progress(operations: DataFrame, batch: str, order: str, size: str) -> DataFrame:
-    """Adds ``done, done_bytes, percent`` in the order of ``order`` within each ``batch``."""
-    upto = W.partitionBy(batch).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    """Adds ``done, done_bytes, percent`` in the order of ``order`` within each ``batch``; null sizes count as 0.
+
+    The order is cut into ranges whose totals are added up, so a batch of any size is spread over all tasks.
+    """
     whole = operations.groupBy(batch).agg(F.count(F.lit(1)).alias("_all"))
-    out = operations.withColumns({"done": F.count(F.lit(1)).over(upto), "done_bytes": F.sum(F.coalesce(F.col(size), F.lit(0))).over(upto)})
-    return out.join(whole, batch).withColumn("percent", percentage(F.col("done"), F.col("_all"))).drop("_all")
+    out = spread_rank(operations, [batch], [order], "done", sums={"done_bytes": size})
+    return lookup_join(out, whole, [batch], "inner").withColumn("percent", percentage(F.col("done"), F.col("_all"))).drop("_all")
 
 
 def remaining_seconds(done: Column, total: Column, elapsed: Column) -> Column:
@@ -83,8 +89,37 @@ def remaining_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     return F.try_divide(elapsed, done) * (total - done)
 
 
-def summary_text(stats: DataFrame) -> str:
-    """A one-row frame of :func:`copy_statistics` as a report."""
+def remaining_seconds_of(done: int, total: int, elapsed: float) -> float | None:
+    """As :func:`remaining_seconds` for one run on the driver."""
+    return round(elapsed / done * (total - done), 1) if done else None
+
+
+def first_rows(rows: DataFrame, order: str, most: int = 100) -> tuple[list, int]:
+    """The first ``most`` rows by ``order``, and how many there are beyond them."""
+    return rows.orderBy(order).limit(most).collect(), max(0, rows.count() - most)
+
+
+def unknown_text(files: DataFrame, most: int = 100) -> str:
+    """The report of files without location: by reason, by extension, and the first ``most`` with "and N more"."""
+    counts = unknown_report(files).collect()
+    lines = [f"Files without location: {sum(r['n'] for r in counts if r['kind'] == 'reason'):,}"]
+    for kind in ("reason", "extension"):
+        of = sorted((r for r in counts if r["kind"] == kind), key=lambda r: (-r["n"], r["key"]))
+        lines += [f"By {kind}:", *(f"  {r['key']}: {r['n']:,}" for r in of)]
+    shown, more = first_rows(unknown_files(files), "name", most)
+    lines += ["Files:", *(f"  [{r['reason_code']}] {r['name']}: {r['reason_text']}" for r in shown), *([f"  ... and {more:,} more"] if more else [])]
+    return "\n".join(lines)
+
+
+def summary_text(stats: DataFrame, files: DataFrame | None = None, most: int = 15) -> str:
+    """A one-row frame of :func:`copy_statistics` as a report; with ``files``, also the most frequent extensions, countries and cities."""
     r = stats.withColumn("size", format_bytes_report(F.col("total_bytes"))).first()
     lines = [f"Files: {r['total_files']:,}  Photos: {r['photos']:,}  Videos: {r['videos']:,}", f"With location: {r['with_location']:,}  Countries: {r['countries']:,}  Cities: {r['cities']:,}", f"Size: {r['size']}"]
+    if files is not None:
+        counts = location_counts(files)
+        tops = {"extension": top_with_other(extension_breakdown(files), "ext", most).withColumnRenamed("ext", "key")}
+        tops |= {level: top_with_other(counts.where(F.col("level") == level).select("key", "n"), "key", most) for level in ("country", "city")}
+        for title, top in tops.items():
+            rows = sorted(top.collect(), key=lambda r: (r["key"] == OTHER, -r["n"], r["key"]))
+            lines += [f"By {title}:", *(f"  {r['key']}: {r['n']:,} ({r['percent']}%)" for r in rows)] if rows else []
     return "\n".join(lines)

@@ -80,12 +80,15 @@ def _odd(ring: str) -> str:
 
 
 _A = "(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2))"
+_EXTENT = "list_min(list_transform(ring, lambda v: v.lat)) AS y0, list_max(list_transform(ring, lambda v: v.lat)) AS y1, list_min(list_transform(ring, lambda v: v.lon)) AS x0, list_max(list_transform(ring, lambda v: v.lon)) AS x1"
 ORACLE_SQL["p2_found"] = f"""WITH p AS (SELECT DISTINCT file_id, lat, lon FROM files WHERE file_id IS NOT NULL AND {_USABLE}),
-  q AS (SELECT * FROM places WHERE {_USABLE} AND population >= 1000),
-  box AS (SELECT *, list_min(list_transform(ring, lambda v: v.lat)) AS y0, list_max(list_transform(ring, lambda v: v.lat)) AS y1, list_min(list_transform(ring, lambda v: v.lon)) AS x0, list_max(list_transform(ring, lambda v: v.lon)) AS x1 FROM boundaries),
-  hit AS (SELECT p.*, polygon_id, holes FROM p JOIN box ON p.lat BETWEEN y0 AND y1 AND p.lon BETWEEN x0 AND x1 WHERE {_odd('ring')}),
+  q AS (SELECT *, unnest([CAST(floor(lat) AS INTEGER) - 1, CAST(floor(lat) AS INTEGER), CAST(floor(lat) AS INTEGER) + 1]) AS band FROM places WHERE {_USABLE} AND population >= 1000),
+  box AS (SELECT *, {_EXTENT} FROM boundaries),
+  grid AS (SELECT polygon_id, gx, unnest(range(CAST(floor(y0) AS INTEGER), CAST(floor(y1) AS INTEGER) + 1)) AS gy FROM (SELECT polygon_id, y0, y1, unnest(range(CAST(floor(x0) AS INTEGER), CAST(floor(x1) AS INTEGER) + 1)) AS gx FROM box)),
+  met AS (SELECT file_id, lat, lon, polygon_id FROM p JOIN grid ON gx = CAST(floor(lon) AS INTEGER) AND gy = CAST(floor(lat) AS INTEGER)),
+  hit AS (SELECT p.file_id, p.lat, p.lon, p.polygon_id, p.holes FROM (SELECT met.*, ring, holes FROM met JOIN box USING (polygon_id) WHERE lat BETWEEN y0 AND y1 AND lon BETWEEN x0 AND x1) p WHERE {_odd('p.ring')}),
   hole AS (SELECT p.file_id, p.polygon_id FROM (SELECT *, unnest(holes) AS h FROM hit) p WHERE {_odd('h')})
-SELECT file_id, 'near' AS match_kind, place_id AS match_id FROM p JOIN q ON q.lat BETWEEN p.lat - 0.02 AND p.lat + 0.02 WHERE 2 * 6371.0 * atan2(sqrt({_A}), sqrt(greatest(0, 1 - {_A}))) <= 2
+SELECT file_id, 'near' AS match_kind, place_id AS match_id FROM p JOIN q ON band = CAST(floor(p.lat) AS INTEGER) AND abs(q.lat - p.lat) <= 0.02 WHERE 2 * 6371.0 * atan2(sqrt({_A}), sqrt(greatest(0, 1 - {_A}))) <= 2
 UNION ALL SELECT file_id, 'inside', CAST(polygon_id AS BIGINT) FROM hit ANTI JOIN hole USING (file_id, polygon_id)"""
 
 _QUOTED, _BARE = '"(?:[^"]|"")*"', '[^"\\t][^\\t]*|'

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.config import VARIABLES, Settings
 from framelake.functions import coordinates, geo, text, times
-from framelake.operators import collisions, enrich, filters, geocode, joins, regions, reports, state
+from framelake.operators import collisions, enrich, filters, geocode, joins, regions, reports, state, template
 from framelake.plans import organise
 from framelake.session import table
 from framelake.sources import sidecars
@@ -472,9 +472,12 @@ def _odd_sql(ring: str) -> str:
     return f"len(list_filter(range(1, len({ring}) + 1), lambda i: (({e('i')}.lat > p.lat) <> ({nxt}.lat > p.lat)) AND p.lon < ({nxt}.lon - {e('i')}.lon) * (p.lat - {e('i')}.lat) / ({nxt}.lat - {e('i')}.lat) + {e('i')}.lon)) % 2 = 1"
 
 
+_EXTENT = "list_min(list_transform(ring, lambda q: q.lat)) AS y0, list_max(list_transform(ring, lambda q: q.lat)) AS y1, list_min(list_transform(ring, lambda q: q.lon)) AS x0, list_max(list_transform(ring, lambda q: q.lon)) AS x1"
 _INSIDE = f"""{LIB}, p AS (SELECT DISTINCT lat, lon FROM lib WHERE {USABLE}),
-  box AS (SELECT *, list_min(list_transform(ring, lambda q: q.lat)) AS y0, list_max(list_transform(ring, lambda q: q.lat)) AS y1, list_min(list_transform(ring, lambda q: q.lon)) AS x0, list_max(list_transform(ring, lambda q: q.lon)) AS x1 FROM boundaries),
-  outer_hit AS (SELECT p.lat, p.lon, trim(country) AS country, polygon_id, holes FROM p JOIN box ON p.lat BETWEEN y0 AND y1 AND p.lon BETWEEN x0 AND x1 WHERE {_odd_sql('ring')}),
+  box AS (SELECT *, {_EXTENT} FROM boundaries),
+  grid AS (SELECT polygon_id, gx, unnest(range(CAST(floor(y0) AS INTEGER), CAST(floor(y1) AS INTEGER) + 1)) AS gy FROM (SELECT polygon_id, y0, y1, unnest(range(CAST(floor(x0) AS INTEGER), CAST(floor(x1) AS INTEGER) + 1)) AS gx FROM box)),
+  met AS (SELECT lat, lon, polygon_id FROM p JOIN grid ON gx = CAST(floor(lon) AS INTEGER) AND gy = CAST(floor(lat) AS INTEGER)),
+  outer_hit AS (SELECT p.lat, p.lon, trim(country) AS country, polygon_id, holes FROM (SELECT met.lat, met.lon, box.* FROM met JOIN box USING (polygon_id) WHERE met.lat BETWEEN y0 AND y1 AND met.lon BETWEEN x0 AND x1) p WHERE {_odd_sql('p.ring')}),
   hole AS (SELECT p.lat, p.lon, p.polygon_id FROM (SELECT *, unnest(holes) AS h FROM outer_hit) p WHERE {_odd_sql('h')}),
   inside AS (SELECT lat, lon, country, polygon_id FROM outer_hit ANTI JOIN hole USING (lat, lon, polygon_id))"""
 
@@ -496,19 +499,41 @@ def bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "boundaries").select("country", "polygon_id", F.inline(F.array(geo.bounding_box(F.col("ring")))))
 
 
-@query()
+_PICK = """g{n} AS (SELECT lat, lon, arg_min(name, (round(km, 6), place_id)) AS district, arg_min(name, (round(km, 6), place_id)) FILTER (kind >= 2) AS city, arg_min(coalesce(admin1, chr(0)), (round(km, 6), place_id)) AS state,
+  arg_min(coalesce(country, chr(0)), (round(km, 6), place_id)) AS country FROM {source} GROUP BY 1, 2)"""
+_NEAR_COUNTRY = "near.country = own.country"
+
+
+@query(f"""WITH {_near_sql("'P'", '< 50')}, {_INSIDE.removeprefix(LIB + ', ')},
+  own AS (SELECT lat, lon, min(country) AS country FROM inside GROUP BY 1, 2), strict AS (SELECT near.* FROM near JOIN own ON near.lat = own.lat AND near.lon = own.lon WHERE {_NEAR_COUNTRY}),
+  {_PICK.format(n=1, source='near')}, {_PICK.format(n=2, source='strict')}
+SELECT g1.lat, g1.lon, {', '.join(f"nullif(CASE WHEN g2.lat IS NULL THEN g1.{c} ELSE g2.{c} END, chr(0)) AS {c}" for c in ('district', 'city', 'state', 'country'))} FROM g1 LEFT JOIN g2 ON g1.lat = g2.lat AND g1.lon = g2.lon""")
 def boundary_geocode(spark: SparkSession, d: str) -> DataFrame:
     points = _lib(spark, d, *POSITION).select("lat", "lon")
     countries = regions.country_lookup(points, table(spark, d, "boundaries")).select("lat", "lon", "country")
     return geocode.reverse_geocode(points, geocode.place_index(table(spark, d, "places")), countries=countries)
 
 
-@query()
+@query(f"""WITH box AS (SELECT *, {_EXTENT} FROM boundaries),
+  c AS (SELECT polygon_id, x, unnest(range(greatest(CAST(floor((y0 + 90) / 180 * 128) AS BIGINT), 0), least(CAST(floor((y1 + 90) / 180 * 128) AS BIGINT), 127) + 1)) AS y FROM
+    (SELECT polygon_id, y0, y1, unnest(range(greatest(CAST(floor((x0 + 180) / 360 * 256) AS BIGINT), 0), least(CAST(floor((x1 + 180) / 360 * 256) AS BIGINT), 255) + 1)) AS x FROM box)),
+  s AS (SELECT polygon_id, x, y, (y + dy) * 1.40625::DOUBLE - 90 AS lat, (x + dx) * 1.40625::DOUBLE - 180 AS lon FROM c, (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0), (0.5, 0.5)) v(dy, dx)),
+  h AS (SELECT p.* FROM (SELECT s.*, trim(country) AS country, ring, holes FROM s JOIN boundaries USING (polygon_id)) p WHERE {_odd_sql('p.ring')}),
+  o AS (SELECT p.polygon_id, p.x, p.y, p.lat, p.lon FROM (SELECT *, unnest(holes) AS h FROM h) p WHERE {_odd_sql('h')}),
+  k AS (SELECT x, y, list_sort(list(DISTINCT country)) AS c FROM h ANTI JOIN o USING (polygon_id, x, y, lat, lon) GROUP BY 1, 2)
+SELECT x, y, array_to_string(c, ',') AS countries, len(c) > 1 AS is_border FROM k""")
 def cell_countries(spark: SparkSession, d: str) -> DataFrame:
     return regions.cell_countries(table(spark, d, "boundaries")).withColumn("countries", F.array_join("countries", ","))
 
 
-@query()
+@query(f"""WITH {LIB}, p AS (SELECT DISTINCT lat, lon FROM lib WHERE {USABLE}),
+  e AS (SELECT polygon_id, ring[i].lon AS x1, ring[i].lat AS y1, ring[CASE WHEN i = len(ring) THEN 1 ELSE i + 1 END].lon AS x2, ring[CASE WHEN i = len(ring) THEN 1 ELSE i + 1 END].lat AS y2 FROM (SELECT polygon_id, ring, unnest(range(1, len(ring) + 1)) AS i FROM boundaries WHERE len(ring) >= 3)),
+  t AS (SELECT polygon_id, x1 + turn AS x1, y1, x2 + turn AS x2, y2 FROM e, (VALUES (-360.0::DOUBLE), (0.0), (360.0)) v(turn)),
+  g AS (SELECT * EXCLUDE (gy0, gy1), unnest(range(gy0, gy1 + 1)) AS gy FROM (SELECT *, CAST(floor(least(y1, y2) - 0.051) AS INTEGER) AS gy0, CAST(floor(greatest(y1, y2) + 0.051) AS INTEGER) AS gy1,
+    unnest(range(CAST(floor(least(x1, x2) - 0.051) AS INTEGER), CAST(floor(greatest(x1, x2) + 0.051) AS INTEGER) + 1)) AS gx FROM t)),
+  m AS (SELECT lat, lon, polygon_id, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM p JOIN g ON gx = CAST(floor(lon) AS INTEGER) AND gy = CAST(floor(lat) AS INTEGER)),
+  a AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(greatest(((lon - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy), 0), 1) ELSE 0 END AS f FROM m)
+SELECT DISTINCT lat, lon, polygon_id FROM a WHERE sqrt(pow(lon - (x1 + f * dx), 2) + pow(lat - (y1 + f * dy), 2)) < 0.05""")
 def edge_points(spark: SparkSession, d: str) -> DataFrame:
     return regions.edge_points(_lib(spark, d, *POSITION).select("lat", "lon"), table(spark, d, "boundaries"), 0.05)
 
@@ -520,7 +545,25 @@ def prune_nearby(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def simplified_rings(spark: SparkSession, d: str) -> DataFrame:
-    return regions.simplified(table(spark, d, "boundaries")).select("country", "polygon_id", F.size("ring").alias("vertices"))
+    return regions.simplified(table(spark, d, "boundaries")).select("country", "polygon_id", F.posexplode("ring").alias("at", "p")).select("country", "polygon_id", "at", "p.lat", "p.lon")
+
+
+@query(f"""WITH {LIB}, pts AS (SELECT DISTINCT lat, lon FROM lib WHERE {USABLE}),
+  pl AS (SELECT place_id, lat AS plat, lon AS plon, {_KIND} AS kind, unnest([CAST(floor(lat) AS INTEGER) - 1, CAST(floor(lat) AS INTEGER), CAST(floor(lat) AS INTEGER) + 1]) AS band FROM places WHERE {USABLE} AND feature_class = 'P'),
+  km AS (SELECT lat, lon, place_id, kind, {_haversine_sql('lat', 'lon', 'plat', 'plon')} AS km FROM pts JOIN pl ON band = CAST(floor(lat) AS INTEGER))
+SELECT lat, lon, arg_min(place_id, (round(km, 6), place_id)) AS any_id, arg_min(place_id, (round(km, 6), place_id)) FILTER (kind >= 2) AS city_id FROM km WHERE km < 50 GROUP BY 1, 2""")
+def nearest_place_complete(spark: SparkSession, d: str) -> DataFrame:
+    got = geocode.nearest_places(_lib(spark, d, *POSITION).select("lat", "lon"), geocode.place_index(table(spark, d, "places")), ring=None)
+    return got.select("lat", "lon", "any_id", "city_id")
+
+
+@query(f"""SELECT place_id, y * 180 / 1024.0::DOUBLE - 90 AS min_lat, x * 360 / 1024.0::DOUBLE - 180 AS min_lon, (y + 1) * 180 / 1024.0::DOUBLE - 90 AS max_lat, (x + 1) * 360 / 1024.0::DOUBLE - 180 AS max_lon,
+  substr(g, 1, 1) || ',' || substr(g, 1, 2) || ',' || substr(g, 1, 3) AS ancestors FROM (SELECT place_id, least(CAST(floor((lon + 180) / 360 * 1024) AS BIGINT), 1023) AS x, least(CAST(floor((lat + 90) / 180 * 1024) AS BIGINT), 1023) AS y,
+  {_geohash_sql('lat', 'lon', 4)} AS g FROM places WHERE {USABLE})""")
+def cells_of_places(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "places").where(enrich.has_coordinates(F.col("lat"), F.col("lon")))
+    box = geo.cell_bounds(geo.cell_x(F.col("lon"), 4), geo.cell_y(F.col("lat"), 4), 4)
+    return rows.select("place_id", F.inline(F.array(box)), F.array_join(geo.ancestors(geo.geohash(F.col("lat"), F.col("lon"), 4)), ",").alias("ancestors"))
 
 
 @query("SELECT p.place_id, coalesce(a.name, p.admin1) AS admin1, coalesce(b.name, p.country) AS country_name FROM places p LEFT JOIN (SELECT country, admin1, min(name) AS name FROM admin1_codes GROUP BY 1, 2) a ON a.country = p.country AND a.admin1 = p.admin1 LEFT JOIN (SELECT upper(trim(country)) AS code, min(name) AS name FROM boundaries WHERE country IS NOT NULL GROUP BY 1) b ON b.code = upper(trim(p.country))")
@@ -529,24 +572,94 @@ def place_names(spark: SparkSession, d: str) -> DataFrame:
     return geocode.with_country_name(named, geocode.country_names(table(spark, d, "boundaries")), F.col("country")).select("place_id", "admin1", "country_name")
 
 
+# --- enrichment from sidecars, masks, related paths -----------------------------------------------------
+
+
+@query(f"""WITH {LIB}, s AS (SELECT *, CAST(file_id % 90 AS DOUBLE) AS sla, CAST(file_id % 180 AS DOUBLE) AS slo, {USABLE} AS mine FROM lib)
+SELECT file_id, epoch_us(coalesce(taken, created)) AS taken_us, CASE WHEN NOT mine AND NOT (sla = 0 AND slo = 0) THEN sla ELSE lat END AS lat, CASE WHEN NOT mine AND NOT (sla = 0 AND slo = 0) THEN slo ELSE lon END AS lon FROM s""")
+def sidecar_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lib(spark, d, "taken", "created", *POSITION)
+    side = rows.withColumns({"side_taken": F.col("created"), "side_lat": (F.col("file_id") % 90).cast("double"), "side_lon": (F.col("file_id") % 180).cast("double")})
+    return enrich.merge_sidecar(side).select("file_id", F.unix_micros("taken").alias("taken_us"), "lat", "lon")
+
+
+@query(f"WITH {LIB} SELECT file_id, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS county, location.state AS state, location.country AS country FROM lib")
+def masked_location(spark: SparkSession, d: str) -> DataFrame:
+    values = template.location_values(F.col("location"), Settings(granularity="state"))
+    return _lib(spark, d, "location").select("file_id", *[values[v].alias(v) for v in ("city", "county", "state", "country")])
+
+
+@query(f"WITH {LIB} SELECT file_id, epoch_us(timezone('America/New_York', {TS})) AS ts_us FROM lib")
+def timezone_local(spark: SparkSession, d: str) -> DataFrame:
+    rows = enrich.enriched(_lib(spark, d, *enrich.ENRICHED_FROM), Settings(zone_mode="local", zone="America/New_York"))
+    return rows.select("file_id", F.unix_micros("ts").alias("ts_us"))
+
+
+@query(f"""WITH {LIB} SELECT m.file_id AS main_id, r.file_id AS related_id FROM lib m JOIN lib r ON m.dir = r.dir AND lower(m.path) <> lower(r.path) AND starts_with(lower(r.stem), lower(m.stem)) AND (m.stem <> '' OR r.stem = '')""")
+def related_files_loose(spark: SparkSession, d: str) -> DataFrame:
+    return joins.related_files(_lib(spark, d, "path", "dir", "name", "stem"), "loose")
+
+
+_STEM, _EXT = "regexp_replace({0}, '\\.[^.]*$', '')", "regexp_extract({0}, '(\\.[^.]*)$', 1)"
+
+
+@query(f"""WITH {LIB}, r AS ({ORACLE_SQL['related_files'].removeprefix(f'WITH {LIB} ')}), n AS (SELECT main_id, related_id, a.name AS m, b.name AS o, '/out/' || {_STEM.format('a.name')} || '-1' || {_EXT.format('a.name')} AS dest FROM r JOIN lib a ON a.file_id = main_id JOIN lib b ON b.file_id = related_id)
+SELECT main_id, related_id, CASE WHEN o = m || {_EXT.format('o')} THEN dest || {_EXT.format('o')}
+  ELSE '/out/' || {_STEM.format("regexp_extract(dest, '([^/]*)$', 1)")} || CASE WHEN starts_with({_STEM.format('o')}, {_STEM.format('m')}) THEN substr({_STEM.format('o')}, length({_STEM.format('m')}) + 1) ELSE '' END || {_EXT.format('o')} END AS destination FROM n""")
+def related_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lib(spark, d, "path", "dir", "name", "stem")
+    m, r = rows.select(F.col("file_id").alias("main_id"), F.col("name").alias("m")), rows.select(F.col("file_id").alias("related_id"), F.col("name").alias("o"))
+    pairs = joins.related_files(rows, "strict").join(m, "main_id").join(r, "related_id")
+    main = F.concat(F.lit("/out/"), text.file_stem(F.col("m")), F.lit("-1"), text.file_extension(F.col("m")))
+    return pairs.select("main_id", "related_id", joins.related_destination(F.col("m"), main, F.col("o")).alias("destination"))
+
+
+@query(f"""WITH {LIB} SELECT file_id, CASE WHEN length < 0 THEN '0 B' WHEN length < 1024 THEN format('{{:,}} B', length) ELSE CASE """ + " ".join(f"WHEN length >= {1024**i} THEN format('{{:,.1f}} {u}', length / {1024**i}.0::DOUBLE)" for i, u in ((5, "PB"), (4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))) + """ END END AS size_text FROM lib WHERE length IS NOT NULL""")
+def format_bytes_report(spark: SparkSession, d: str) -> DataFrame:
+    return _lib(spark, d, "length").where("length is not null").select("file_id", text.format_bytes_report(F.col("length")).alias("size_text"))
+
+
+@query("SELECT place_id, CASE WHEN place_id % 3 = 0 THEN population / 10.0::DOUBLE WHEN place_id % 3 = 1 THEN CAST(population AS DOUBLE) END AS metres FROM places WHERE population IS NOT NULL")
+def xmp_altitude(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "places").where("population is not null")
+    n = F.col("population").cast("string")
+    made = F.when(F.col("place_id") % 3 == 0, F.concat(n, F.lit("/10"))).when(F.col("place_id") % 3 == 1, n).otherwise(F.concat(n, F.lit("/0")))
+    return rows.select("place_id", coordinates.xmp_altitude(made).alias("metres"))
+
+
+@query(f"WITH {LIB} SELECT file_id, epoch_us(date_trunc('second', taken)) AS taken_us FROM lib WHERE taken IS NOT NULL")
+def xmp_date(spark: SparkSession, d: str) -> DataFrame:
+    made = F.when(F.col("file_id") % 2 == 0, F.date_format("taken", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("taken", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return _lib(spark, d, "taken").where("taken is not null").select("file_id", F.unix_micros(times.sidecar_date(made)).alias("taken_us"))
+
+
+@query(f"WITH {LIB} SELECT file_id, '/d/' || regexp_extract(dir, '^/vault/?(.*)$', 1) || '/' || name AS destination FROM lib")
+def directory_path(spark: SparkSession, d: str) -> DataFrame:
+    settings = Settings(source=ROOT, destination="/d/{directory}/{name}{ext}")
+    return organise.destinations(_lib(spark, d, *enrich.ENRICHED_FROM, "path", "dir", "name", "stem", "location"), settings).select("file_id", "destination")
+
+
 # --- state --------------------------------------------------------------------------------------------
 
-_OPS_SQL = """ops AS (SELECT entry_id AS file_index, CASE WHEN checksum IS NULL THEN 'Failed' WHEN file_size % 7 = 0 THEN 'Skipped' WHEN file_size % 5 = 0 THEN 'CopyDonePendingDelete' ELSE 'Completed' END AS result, file_size, accepted_at AS ts,
+_OPS = """ops AS (SELECT entry_id AS file_index, CASE WHEN checksum IS NULL THEN 'Failed' WHEN file_size % 7 = 0 THEN 'Skipped' WHEN file_size % 5 = 0 THEN 'CopyDonePendingDelete' ELSE 'Completed' END AS result, file_size, accepted_at AS ts,
   source_path, destination_path, CASE WHEN batch_no % 2 = 0 THEN 'Move' ELSE 'Copy' END AS operation
-  FROM processed_files WHERE batch_no <= 3 QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY accepted_at DESC) = 1)"""
+  FROM processed_files {} QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY accepted_at DESC) = 1)"""
+_OPS_SQL = _OPS.format("")
+#: The log of a run that was cut off in its fourth batch, which is what there is to resume.
+CUT_OFF = "batch_no <= 3"
 
 
-def _operations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "processed_files").where("batch_no <= 3")
+def _operations(spark: SparkSession, d: str, upto: str = "true") -> DataFrame:
+    rows = table(spark, d, "processed_files").where(upto)
     one = rows.groupBy("entry_id").agg(F.max(F.struct("accepted_at", "batch_no", "checksum", "file_size", "source_path", "destination_path")).alias("m")).select("entry_id", "m.*")
     result = F.when(F.col("checksum").isNull(), "Failed").when(F.col("file_size") % 7 == 0, "Skipped").when(F.col("file_size") % 5 == 0, "CopyDonePendingDelete").otherwise("Completed")
     return one.select(F.col("entry_id").alias("file_index"), result.alias("result"), "file_size", F.col("accepted_at").alias("ts"), "source_path", "destination_path", F.when(F.col("batch_no") % 2 == 0, "Move").otherwise("Copy").alias("operation"))
 
 
-@query(f"WITH {_OPS_SQL} SELECT DISTINCT entry_id AS file_index FROM processed_files WHERE entry_id NOT IN (SELECT file_index FROM ops WHERE result IN ('Completed', 'CopyDonePendingDelete'))")
+@query(f"WITH {_OPS.format('WHERE ' + CUT_OFF)} SELECT DISTINCT entry_id AS file_index FROM processed_files WHERE entry_id NOT IN (SELECT file_index FROM ops WHERE result IN ('Completed', 'CopyDonePendingDelete'))")
 def resume_pending(spark: SparkSession, d: str) -> DataFrame:
     plan = table(spark, d, "processed_files").select(F.col("entry_id").alias("file_index")).distinct()
-    return state.pending(plan, _operations(spark, d))
+    return state.pending(plan, _operations(spark, d, CUT_OFF))
 
 
 @query(f"""WITH {_OPS_SQL} SELECT count(*) FILTER (result IN ('Completed', 'CopyDonePendingDelete')) AS completed, count(*) FILTER (result = 'Failed') AS failed, count(*) FILTER (result = 'Skipped') AS skipped,
