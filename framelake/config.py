@@ -78,13 +78,31 @@ def _coerced(name: str, value: object) -> object:
     return int(value) if "int" in kind else value
 
 
+def _parsed(file: str, text: str) -> Mapping[str, object]:
+    """The settings of a file by its extension; YAML needs the yaml package."""
+    if file.lower().endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError(f"{file}: no YAML reader is installed") from None
+        try:
+            values = yaml.safe_load(text)
+        except yaml.YAMLError as problem:
+            raise ValueError(f"{file}: {problem}") from None
+    else:
+        values = json.loads(text)
+    if not isinstance(values, dict | None):
+        raise ValueError(f"{file}: not a mapping of settings")
+    return values or {}
+
+
 def load_settings(file: str | None = None, overrides: Mapping[str, object] | None = None, environment: Mapping[str, str] | None = None, prefix: str = "FRAMELAKE_") -> tuple[Settings, list[Setting]]:
-    """Defaults, then a JSON file, then environment variables, then overrides; each value with its source."""
+    """Defaults, then a JSON or YAML file, then environment variables, then overrides; each value with its source."""
     known = {f.name for f in dataclasses.fields(Settings)}
     layers: list[tuple[str, Mapping[str, object]]] = []
     if file:
         with open(file, encoding="utf-8") as held:
-            layers.append((file, json.load(held)))
+            layers.append((file, _parsed(file, held.read())))
     env = os.environ if environment is None else environment
     layers.append(("environment", {k[len(prefix) :].lower(): v for k, v in env.items() if k.startswith(prefix) and k[len(prefix) :].lower() in known}))
     layers.append(("override", {k: v for k, v in (overrides or {}).items() if v is not None}))

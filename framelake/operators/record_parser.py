@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators.lookup import lookup_join
 from framelake.sources.delimited import NEWLINE, Grammar, parse_lines
+from framelake.session import ship_package
 
 #: The fields of a gazetteer line, in order.
 FIELDS = (
@@ -30,6 +31,7 @@ def split_lines(raw: DataFrame, id_column: str = "line_id", text_column: str = "
     parser resumes after a broken quote. A null text has no fields (``n_fields`` 0); an empty text has one empty
     field; a newline within a text is data. Other columns are ignored, whatever their names.
     """
+    ship_package(raw.sparkSession)
     width = len(FIELDS)
     out = pa.schema([("line_id", pa.int64()), ("n_fields", pa.int32()), ("syntax_error", pa.string()), ("error_line", pa.int32()), ("error_column", pa.int32()), ("fields", pa.list_(pa.string()))])
 
@@ -66,6 +68,7 @@ def parse_files(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     stays together. A line number that occurs twice counts once (the smallest text); lines without file or number are
     left out, null texts are empty lines.
     """
+    ship_package(lines.sparkSession)
     width = len(FIELDS)
     rows = lines.where("file_name is not null and line_no is not null").groupBy("file_name", "line_no").agg(F.min(F.coalesce("raw_line", F.lit(""))).alias("raw_line"))
     starts = F.col("raw_line").rlike(r"\A[0-9]+\t") & (F.length("raw_line") - F.length(F.translate("raw_line", "\t", "")) >= width - 1)

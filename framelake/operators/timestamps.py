@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators.lookup import lookup_join
+from framelake.session import ship_package
 from framelake.storage import new_path, path_exists, write_table
 
 #: A combination is hot, and broadcast in the join back, if it has more than one in so many rows.
@@ -163,6 +164,7 @@ def _parse_distinct(distinct: DataFrame) -> DataFrame:
             cols = [b.column(i).to_pylist() for i in range(3)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([normalise(*row) for row in zip(*cols, strict=True)], pa.string())], schema=out)
 
+    ship_package(distinct.sparkSession)
     return distinct.select(*_KEY).mapInArrow(parse, "text string, zone_id string, day_first boolean, utc_text string")
 
 

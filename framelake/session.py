@@ -36,6 +36,7 @@ def build_session(master: str = "local[8]", app: str = "framelake", **conf: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 

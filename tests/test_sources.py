@@ -55,9 +55,9 @@ def test_scan_folder(spark, tmp_path):
     (tmp_path / "z").write_bytes(b"z")
     (tmp_path / "empty").write_bytes(b"")
     rows = {r.name: r for r in files.scan(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"x.jpg", "y.tar.gz", "z"} and (rows["y.tar.gz"].stem, rows["y.tar.gz"].ext, rows["z"].ext) == ("y.tar", ".gz", "")
+    assert set(rows) == {"x.jpg", "y.tar.gz", "z", "empty"} and (rows["y.tar.gz"].stem, rows["y.tar.gz"].ext, rows["z"].ext) == ("y.tar", ".gz", "")
     assert rows["x.jpg"].dir == str(tmp_path / "a")
-    assert {r.name for r in files.scan(spark, str(tmp_path), 2).collect()} == {"x.jpg", "z"}
+    assert {r.name for r in files.scan(spark, str(tmp_path), 2).collect()} == {"x.jpg", "z", "empty"}
     deep = files.with_metadata(files.with_checksum(files.scan(spark, str(tmp_path), content=True)))
     got = {r.name: (r.checksum[:8], r.meta.make) for r in deep.select("name", "checksum", "meta").collect()}
     assert got["y.tar.gz"] == ("2cf24dba", None) and got["x.jpg"][1] == "Canon"
