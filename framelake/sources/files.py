@@ -60,5 +60,5 @@ def with_checksum(files: DataFrame) -> DataFrame:
 
 
 def with_metadata(files: DataFrame) -> DataFrame:
-    """Adds ``meta`` (taken, lat, lon, make, model, description) read once from each file's content."""
+    """Adds ``meta`` (taken, lat, lon, make, model, description, album_xmp, album_iptc, album_xp) read once from each file's content."""
     return files.withColumn("meta", media_metadata(F.col("content")))

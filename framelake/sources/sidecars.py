@@ -70,6 +70,14 @@ def xmp_fields(text: str | None) -> dict[str, str | None]:
     return {n: _first(nodes, w) for n, w in zip(names, wanted, strict=True)}
 
 
+def packet_value(text: str, names: tuple[str, ...]) -> str | None:
+    """The first of some properties, by their full names, that an XMP text has a value of."""
+    try:
+        return _first(list(ET.fromstring(text).iter(f"{RDF}Description")), list(names))
+    except ET.ParseError:
+        return None
+
+
 _XMP = StructType([StructField(n, StringType()) for n in ("date", "lat", "lon", "altitude", "title", "description")])
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+#: Paths of intermediate tables by application, to be deleted when it ends.
+_made: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,8 +41,32 @@ def _remove_local(path: str) -> None:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for one intermediate table."""
-    return f"{shared_folder(spark)}/framelake/{label}-{uuid.uuid4().hex}"
+    """A fresh path for one intermediate table, deleted when the application ends or by :func:`clean`."""
+    path = f"{shared_folder(spark)}/framelake/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = []
+        atexit.register(_clean_at_end, spark, app)
+    _made[app].append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete this application's intermediate tables, when no frame that reads them is needed any more; how many."""
+    paths = _made.get(spark.sparkContext.applicationId, [])
+    count = len(paths)
+    while paths:
+        drop_path(spark, paths.pop())
+    return count
+
+
+def _clean_at_end(spark: SparkSession, app: str) -> None:
+    """At the end of the process, if its session is still there; a stopped one leaves its folder to the cluster."""
+    try:
+        if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+            clean(spark)
+    except Exception:  # noqa: BLE001 - nothing is lost but the space, and the process is ending
+        pass
 
 
 def write_table(df: DataFrame, label: str, mode: str = "errorifexists") -> DataFrame:
