@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from framelake.llm import nsw
 from framelake.llm.shingles import SKETCH_WORDS, VECTOR_DIMS, jaccard, shingle_sets, sketches
-from framelake.operators.lookup import is_small, lookup_join
+from framelake.operators.lookup import BROADCAST_ROWS, is_small, lookup_join
 from framelake.storage import drop_path, new_path, path_exists, write_table
 
 WIDTH = 3
@@ -283,6 +283,12 @@ def _known(df: DataFrame, asked: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if is_small(keys) else keys, on, "left_semi")
 
 
+def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the schedule as a frame, broadcast while they are few."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 class DedupIndex:
     """The growing index at ``path``. Any number of batches may be ingested at once, and entries of a batch in several waves.
 
@@ -399,13 +405,16 @@ class DedupIndex:
         if not plan:
             self._append(spark.createDataFrame([], "a bigint, b bigint"), "similar", wave)
             return
-        visible = spark.createDataFrame(plan, "batch_no bigint, number bigint, blocks int")
-        who = lookup_join(members.select("rep", "batch_no").distinct(), visible, ["batch_no"], "inner").select("rep", "number", "blocks").distinct()
+        visible = _listed(spark, plan, "batch_no bigint, number bigint, blocks int")
+        who = members.select("rep", "batch_no").distinct().join(visible, "batch_no").select("rep", "number", "blocks").distinct()
         own = classes if wave == 1 else _known(classes, members, "rep")
         queries = lookup_join(who, own.select("rep", "vector", "sketch"), ["rep"], "inner")
         fitted, pieces = self._centres([s.number for s in searched])
-        queries = queries.withColumn("centre", F.explode(nearest_centres(spark, fitted, False)("number", "vector"))) if fitted else queries.withColumn("centre", F.lit(0))
-        queries = lookup_join(queries, pieces, ["number", "centre"], "inner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        if fitted:
+            queries = queries.withColumn("centre", F.explode(nearest_centres(spark, fitted, False)("number", "vector")))
+            queries = lookup_join(queries, pieces, ["number", "centre"], "inner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        else:  # every shard is one piece
+            queries = queries.withColumns({"centre": F.lit(0), "salt": F.lit(0)})
         queries = queries.select(_shard(), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "vector", "sketch")
         candidates = self._append(search_graphs(self.table("graphs").where(F.col("number").isin([s.number for s in searched])), queries).distinct(), "candidates", wave)
         self._append(rerank(candidates, documents), "similar", wave)
@@ -418,22 +427,25 @@ class DedupIndex:
         rank_of = [(*r, s.number) for s in wanted for r in ranks[s.after + 1 : s.upto + 1]]
         if not rank_of:
             return
-        nodes = lookup_join(classes, spark.createDataFrame(rank_of, "wave int, first bigint, number bigint"), ["wave", "first"], "inner").select("number", "rep", "vector", "sketch")
+        nodes = classes.join(_listed(spark, rank_of, "wave int, first bigint, number bigint"), ["wave", "first"]).select("number", "rep", "vector", "sketch")
         fitted, rows = {}, [(s.number, 0, None, 1) for s in wanted if s.centres == 1]
         for s in (s for s in wanted if s.centres > 1):
             # At most MOST_CENTRES rows and the probes' ones, by a seeded order.
             sample = nodes.where(F.col("number") == s.number).orderBy(F.xxhash64("rep", F.lit(17)), "rep").limit(s.centres + PROBES).toPandas()
             fitted[s.number] = fit_centres(sample, s.centres)
             rows += [(s.number, i, v.astype(np.float16).tobytes(), fitted[s.number][1]) for i, v in enumerate(fitted[s.number][0])]
-        nodes = nodes.withColumn("centre", F.explode(nearest_centres(spark, fitted, True)("number", "vector"))) if fitted else nodes.withColumn("centre", F.lit(0))
         held = {}
         if fitted:  # one row for each centre
+            nodes = nodes.withColumn("centre", F.explode(nearest_centres(spark, fitted, True)("number", "vector")))
             sizes = nodes.where(F.col("number").isin(list(fitted))).groupBy("number", "centre").count().collect()
             held = {(r["number"], r["centre"]): max(1, math.ceil(r["count"] / self.shard_nodes)) for r in sizes}
         rows = [(*r, held.get(r[:2], 1)) for r in rows]
         pieces = spark.createDataFrame(rows, self._SCHEMAS["centres"])
         self._append(pieces, "centres", wave)
-        nodes = lookup_join(nodes, pieces.select("number", "centre", "salts"), ["number", "centre"], "inner").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+        if fitted:
+            nodes = lookup_join(nodes, pieces.select("number", "centre", "salts"), ["number", "centre"], "inner").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+        else:
+            nodes = nodes.withColumns({"centre": F.lit(0), "salt": F.lit(0)})
         graphs = build_graphs(nodes.select(_shard(), "rep", "vector", "sketch"))
         self._append(graphs.withColumn("number", F.floor(F.col("shard") / (_CENTRES * _SALTS)).cast("bigint")), "graphs", wave)
 
