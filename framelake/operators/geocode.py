@@ -15,6 +15,7 @@ PRECISION = 4
 RADIUS_KM = 50.0
 TOWN = 2
 PRUNE_KM = 5.0
+PRUNE_CELLS = 8
 PRIORITY_KM = 15.0
 
 
@@ -118,25 +119,31 @@ def with_country_name(df: DataFrame, names: DataFrame, column: Column, into: str
 def prune_nearby(index: DataFrame, within_km: float = PRUNE_KM, precision: int = PRECISION) -> DataFrame:
     """The places kept of each cell: by kind, then population (then id), none within ``within_km`` of a kept one.
 
-    Greedy, so a cell is worked on by one task; a cell of the default precision is about 20 by 39 km, which
-    bounds how many places can be kept, and so the work for each.
+    Greedy within a cell; a cell of the default precision is about 20 by 39 km, which bounds how many places can be
+    kept, and so the work for each. Neighbouring cells (PRUNE_CELLS by as many) are handed to a task together, as most
+    hold few places.
     """
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        pdf = pdf.assign(_p=pdf["population"].fillna(0)).sort_values(["kind", "_p", "place_id"], ascending=[False, False, True], kind="stable").drop(columns="_p")
+        pdf = pdf.assign(_p=pdf["population"].fillna(0)).sort_values(["x", "y", "kind", "_p", "place_id"], ascending=[True, True, False, False, True], kind="stable").drop(columns="_p")
         lat, lon = np.radians(pdf["place_lat"].to_numpy()), np.radians(pdf["place_lon"].to_numpy())
-        open_rows, kept = np.ones(len(pdf), dtype=bool), []
-        for i in range(len(pdf)):
-            if open_rows[i]:
-                kept.append(i)
-                a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lon - lon[i]) / 2) ** 2
-                open_rows &= 2 * 6371.0 * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0, 1 - a))) > within_km
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        ends = np.append(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, len(pdf))
+        kept, low = [], 0
+        for high in ends.tolist():
+            la, lo, is_open = lat[low:high], lon[low:high], np.ones(high - low, dtype=bool)
+            for i in range(high - low):
+                if is_open[i]:
+                    kept.append(low + i)
+                    a = np.sin((la - la[i]) / 2) ** 2 + np.cos(la) * np.cos(la[i]) * np.sin((lo - lo[i]) / 2) ** 2
+                    is_open &= 2 * 6371.0 * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0, 1 - a))) > within_km
+            low = high
         return pdf.iloc[kept]
 
     ship_package(index.sparkSession)
-    return index.groupBy("x", "y").applyInPandas(prune, index.schema)
+    return index.groupBy(F.floor(F.col("x") / PRUNE_CELLS), F.floor(F.col("y") / PRUNE_CELLS)).applyInPandas(prune, index.schema)
 
 
 def write_place_index(index: DataFrame, path: str, precision: int = PRECISION) -> None:
