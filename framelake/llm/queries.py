@@ -76,7 +76,7 @@ _CLEAN = "nullif(regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g'), '')
 
 # What holds whatever the packing and the mixture: every text with a token lies in each kind of container, no limit is broken.
 ORACLE_SQL: dict[str, str] = {
-    "p6_limits": """SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS over_capacity, 0 AS over_segments, 0 AS over_loss, 0 AS cut_short, 0 AS gaps
+    "p6_limits": """SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS over_segments, CAST(0 AS BIGINT) AS over_loss, CAST(0 AS BIGINT) AS cut_short, CAST(0 AS BIGINT) AS gaps
 FROM containers WHERE capacity_tokens > 0 AND container_kind IS NOT NULL GROUP BY container_kind""",
-    "p7_limits": f"SELECT DISTINCT {_CLEAN} AS source, 0 AS over_cap, 0 AS \"foreign\" FROM mix_targets WHERE {_CLEAN} IS NOT NULL",
+    "p7_limits": f"SELECT DISTINCT {_CLEAN} AS source, CAST(0 AS BIGINT) AS over_cap, CAST(0 AS BIGINT) AS \"foreign\" FROM mix_targets WHERE {_CLEAN} IS NOT NULL",
 }
